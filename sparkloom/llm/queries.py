@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm._common import table
+from sparkloom.llm.decontaminate import contaminated_spans
+from sparkloom.llm.near_dedup import near_duplicates
+from sparkloom.llm.paragraph_dedup import duplicate_paragraphs
 from sparkloom.llm.suffix_dedup import repeated_passages
 
 
@@ -12,6 +15,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_paragraph_dedup, op4_decontamination)}
 
 SQL: dict[str, str] = {}
