@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm._common import table
 from sparkloom.llm.decontaminate import contaminated_spans
+from sparkloom.llm.language_id import fit, identify
 from sparkloom.llm.near_dedup import near_duplicates
 from sparkloom.llm.paragraph_dedup import duplicate_paragraphs
 from sparkloom.llm.suffix_dedup import repeated_passages
@@ -27,6 +28,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_paragraph_dedup, op4_decontamination)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_paragraph_dedup, op4_decontamination, op6_language_id)}
 
 SQL: dict[str, str] = {}
