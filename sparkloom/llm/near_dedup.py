@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import WORD_BYTE, fresh, grouped, hash_words, in_arrow, q, row_key, split_words, text_chunks
+from sparkloom.llm._common import WORD_BYTE, durable, fresh, grouped, hash_words, in_arrow, q, row_key, split_words, text_chunks
 from sparkloom.llm._graph import components
 from sparkloom.llm._minhash import Hasher, band_hashes, bucket_edges, edge_batch, pack, shingles, similarity
 
@@ -63,11 +63,13 @@ def _bucket_pairs(threshold: float, bits: int):
 
 def _groups(d: DataFrame, threshold: float, shingle: int, bands: int, width: int, bits: int) -> DataFrame:
     """(key, root) of the documents (key, text) that have near duplicates."""
-    sigs = in_arrow(_signatures(shingle, bands, width, bits), d, "key long, sig binary, bands array<long>")
-    band = sigs.select(F.explode("bands").alias("band"), "key", "sig")
+    sigs = durable(in_arrow(_signatures(shingle, bands, width, bits), d, "key long, sig binary, bands array<long>"))
     bucket = Window.partitionBy("band")
-    shared = band.withColumn("a", F.min("key").over(bucket)).withColumn("b", F.max("key").over(bucket)).where("a <> b").drop("a", "b")
-    edges = shared.mapInArrow(_bucket_pairs(threshold, bits), "u long, v long").where("u <> v")
+    band = sigs.select(F.explode("bands").alias("band"), "key")
+    shared = band.withColumn("a", F.min("key").over(bucket)).withColumn("b", F.max("key").over(bucket)).where("a <> b").select("band", "key").distinct()
+    # only rows that share a bucket carry their signature
+    meet = shared.join(sigs.select("key", "sig").dropDuplicates(["key"]), "key").repartition("band").sortWithinPartitions("band", "key")
+    edges = meet.mapInArrow(_bucket_pairs(threshold, bits), "u long, v long").where("u <> v")
     return components(edges).withColumnRenamed("node", "key")
 
 
