@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm._common import table
 from sparkloom.llm.decontaminate import contaminated_spans
+from sparkloom.llm.html_extract import main_text
 from sparkloom.llm.language_id import fit, identify
+from sparkloom.llm.mixing import with_rates
 from sparkloom.llm.near_dedup import near_duplicates
 from sparkloom.llm.paragraph_dedup import duplicate_paragraphs
+from sparkloom.llm.secret_scan import findings_by_path, scan_new
 from sparkloom.llm.suffix_dedup import repeated_passages
+from sparkloom.llm.topk_search import top_k
+from sparkloom.llm.url_filter import filter_urls
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +33,47 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_paragraph_dedup, op4_decontamination, op6_language_id)}
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = scan_new(docs)
+    return findings_by_path(docs, ledger, ["source", "doc_id"])
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_rates(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "tokens", "rate", "copies")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_minhash_near_dedup, op3_paragraph_dedup, op4_decontamination, op5_html_extraction,
+        op6_language_id, op7_topk_search, op8_secret_scan, op9_url_filter, op10_mixing,
+    )
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_topk_search": """
+        WITH pairs AS (
+            SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour_id)::INTEGER AS rank FROM pairs)
+        SELECT vec_id, rank, neighbour_id, round(d, 6) AS distance FROM ranked WHERE rank <= 10
+    """,
+}
