@@ -65,7 +65,9 @@ def converted(name: str, have: T.DataType, want: str, *, lenient: bool = False,
     cast = (lambda c, t: c.try_cast(t)) if lenient else (lambda c, t: c.cast(t))
     if fmt is not None and text:
         p = F.lit(pattern(fmt))
-        return F.try_to_timestamp(x, p).cast("timestamp_ntz") if lenient else F.to_timestamp_ntz(x, p)
+        t = F.try_to_timestamp(x, p).cast("timestamp_ntz") if lenient else F.to_timestamp_ntz(x, p)
+        # years of two digits from 69 on are of the last century
+        return F.when((F.year(t) >= 2069) & F.lit("%y" in fmt), t - F.expr("interval 100 years")).otherwise(t)
     if fmt is not None and temporal and kind == "string":
         return F.date_format(x, pattern(fmt))
     if temporal and number:
