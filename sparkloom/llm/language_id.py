@@ -24,7 +24,7 @@ MIN_SHARE = 0.5
 STEPS, RIDGE = 40, 1e-5
 #: Hashed features; lexicon entries follow them.
 _HASHED = 1 << 17
-_BLOCK = 128
+_BLOCK = 256
 _LETTER = WORD_BYTE.copy()
 _LETTER[[*range(48, 58), 95]] = False
 
@@ -71,14 +71,20 @@ def forward_backward(score: np.ndarray, begins: np.ndarray, start: np.ndarray, t
     n, k = score.shape
     e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)
     t, s = np.exp(trans - trans.max()).astype(np.float64), np.exp(start - start.max()).astype(np.float64)
+    # positions in blocks first, so that a step over all blocks reads consecutive memory; sums are scaled every few steps, long before they underflow
     blocks = -(-n // _BLOCK)
     pad = blocks * _BLOCK - n
-    e = np.concatenate([e, np.ones((pad, k))]).reshape(blocks, _BLOCK, k)
-    b = np.concatenate([begins, np.ones(pad, bool)]).reshape(blocks, _BLOCK)
+    e = np.ascontiguousarray(np.concatenate([e, np.ones((pad, k))]).reshape(blocks, _BLOCK, k).transpose(1, 0, 2))
+    b = np.concatenate([begins, np.ones(pad, bool)]).reshape(blocks, _BLOCK).T
+    fresh = [np.flatnonzero(x) for x in b]
     m = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
     for i in range(_BLOCK):
-        m = np.where(b[:, i, None, None], m.sum(axis=2, keepdims=True) * s, (m.reshape(-1, k) @ t).reshape(m.shape)) * e[:, i, None, :]
-        m /= m.sum(axis=(1, 2), keepdims=True)
+        step = (m.reshape(-1, k) @ t).reshape(m.shape)
+        if len(fresh[i]):
+            step[fresh[i]] = m[fresh[i]].sum(axis=2, keepdims=True) * s
+        m = step * e[i][:, None, :]
+        if i % 8 == 7:
+            m /= m.sum(axis=(1, 2), keepdims=True)
     into, back = np.empty((blocks, k)), np.empty((blocks, k))
     a = np.ones(k) / k
     for i in range(blocks):
@@ -90,19 +96,25 @@ def forward_backward(score: np.ndarray, begins: np.ndarray, start: np.ndarray, t
         back[i] = a
         a = m[i] @ a
         a /= a.sum()
-    alpha = np.empty_like(e)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
     a = into
     for i in range(_BLOCK):
-        a = np.where(b[:, i, None], a.sum(axis=1, keepdims=True) * s, a @ t) * e[:, i]
-        a = a / a.sum(axis=1, keepdims=True)
-        alpha[:, i] = a
-    beta = np.empty_like(e)
-    a = back
+        step = a @ t
+        if len(fresh[i]):
+            step[fresh[i]] = a[fresh[i]].sum(axis=1, keepdims=True) * s
+        a = step * e[i]
+        if i % 8 == 7:
+            a /= a.sum(axis=1, keepdims=True)
+        alpha[i] = a
+    a, turned = back, np.ascontiguousarray(t.T)
     for i in range(_BLOCK - 1, -1, -1):
-        beta[:, i] = a
-        x = e[:, i] * a
-        a = np.where(b[:, i, None], 1.0, x @ t.T)
-        a = a / a.sum(axis=1, keepdims=True)
+        beta[i] = a
+        a = (e[i] * a) @ turned
+        if len(fresh[i]):
+            a[fresh[i]] = 1.0
+        if i % 8 == 0:
+            a /= a.sum(axis=1, keepdims=True)
+    alpha, beta, e = (x.transpose(1, 0, 2) for x in (alpha, beta, e))
     post = (alpha * beta).reshape(-1, k)[:n]
     post /= post.sum(axis=1, keepdims=True)
     if not pairs:
@@ -132,7 +144,9 @@ class Model:
         st, en = st[ok], en[ok]
         if not len(st):
             return row, np.empty((0, len(self.labels))), st
-        score = _emissions(self.weights, *_features(buf, st, en, self.lexicon, h), len(st))
+        # each distinct word of the chunk is scored once
+        _, once, word = np.unique(h, return_index=True, return_inverse=True)
+        score = _emissions(self.weights, *_features(buf, st[once], en[once], self.lexicon, h[once]), len(once))[word]
         return row, forward_backward(score, np.append(True, row[1:] != row[:-1]), self.start, self.trans)[0], st
 
 
@@ -161,10 +175,10 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, ridge: float = RIDGE,
         return None
     y = np.array([p[1] for p in parts])[part]
     doc = np.array([p[2] for p in parts])[part]
-    seen, times = np.unique(h, return_counts=True)
+    seen, at, kind, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     model = Model(labels, seen[times >= 4])
     k, n = len(labels), len(st)
-    one, tri, word = _features(buf, st, en, model.lexicon, h)
+    one, tri, word = _features(buf, st[at], en[at], model.lexicon, seen)
     begins = np.append(True, doc[1:] != doc[:-1])
     gold = np.zeros((n, k))
     gold[np.arange(n), y] = 1
@@ -177,9 +191,11 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, ridge: float = RIDGE,
     mean, var = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
     for step in range(1, steps + 1):
         model.weights[used] = theta[0]
-        post, pairs = forward_backward(_emissions(model.weights, one, tri, word, n), begins, theta[1], theta[2], pairs=True)
+        post, pairs = forward_backward(_emissions(model.weights, one, tri, word, len(seen))[kind], begins, theta[1], theta[2], pairs=True)
         err = (gold - post) / n
-        grad = [np.stack([np.bincount(where, weights=err[of, j], minlength=len(used)) for j in range(k)], axis=1), err[begins].sum(axis=0), (gold_pairs - pairs) / n]
+        # the error of a feature is that of its words, each distinct word's errors added first
+        total = np.stack([np.bincount(kind, weights=err[:, j], minlength=len(seen)) for j in range(k)], axis=1)
+        grad = [np.stack([np.bincount(where, weights=total[of, j], minlength=len(used)) for j in range(k)], axis=1), err[begins].sum(axis=0), (gold_pairs - pairs) / n]
         for i, g in enumerate(grad):
             g = g - ridge * theta[i]
             mean[i] = 0.9 * mean[i] + 0.1 * g
