@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import durable, in_arrow, q, row_key
+from sparkloom.llm._common import durable, fresh, in_arrow, q, row_key
 
 #: Shares of the tokens: a number is a temperature (share proportional to tokens ** number), a dict gives the levels' shares outright.
 TARGETS: dict[str, float | dict] = {"source": 0.5, "lang": 0.75}
@@ -32,10 +32,10 @@ def shares(cells: DataFrame, targets: dict[str, float | dict]) -> list[tuple[str
     """(column, levels, shares) of each margin. Levels that have no tokens get nothing; the rest are scaled to sum to 1."""
     out = []
     for name, goal in targets.items():
-        rows = cells.groupBy(name).agg(F.sum("t").alias("t")).where("t > 0").limit(MAX_LEVELS + 1).collect()
+        rows = cells.groupBy(q(name)).agg(F.sum("__t").alias("__t")).where("__t > 0").limit(MAX_LEVELS + 1).collect()
         if len(rows) > MAX_LEVELS:
             raise ValueError(f"{name} has more than {MAX_LEVELS} levels")
-        rows = sorted(((r[0], float(r["t"])) for r in rows), key=lambda r: (r[0] is None, r[0]))
+        rows = sorted(((r[0], float(r["__t"])) for r in rows), key=lambda r: (r[0] is None, r[0]))
         if isinstance(goal, dict):
             rows = [(level, float(goal[level])) for level, _ in rows if goal.get(level, 0) > 0]
         else:
@@ -109,16 +109,14 @@ def with_rates(docs: DataFrame, targets: dict[str, float | dict] = TARGETS, tota
 
     A null level is a level of its own. Levels that a dict of shares does not name have rate 0 and no copies. Null and empty texts have 0 tokens; they get the
     rate of their levels if some other document has these levels, otherwise 0. Repeated rows count and are mixed as many times. An empty table gives an empty result.
+    A new column whose name the documents have already gets an underscore behind its name.
     """
-    t, rate, copies = names
-    clash = {c.lower() for c in docs.columns} & {x.lower() for x in names}
-    if clash:
-        raise ValueError(f"the documents have columns {sorted(clash)}; give other names")
+    t, rate, copies = (fresh(docs, x) for x in names)
     counted = docs.withColumn(t, tokens(text_col))
-    cells = durable(counted.groupBy(*[q(c) for c in targets]).agg(F.sum(q(t)).cast("double").alias("t")).where("t > 0"))
+    cells = durable(counted.groupBy(*[q(c) for c in targets]).agg(F.sum(q(t)).cast("double").alias("__t")).where("__t > 0"))
     margins = shares(cells, targets)
     codes = [f"x{i}" for i in range(len(margins))]
-    coded = cells.select("t", *[_lookup(name, levels, list(range(len(levels))), "int").alias(c) for c, (name, levels, _) in zip(codes, margins, strict=True)])
+    coded = cells.select(F.col("__t").alias("t"), *[_lookup(name, levels, list(range(len(levels))), "int").alias(c) for c, (name, levels, _) in zip(codes, margins, strict=True)])
     coded = durable(coded.dropna())
     span = coded.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not span:

@@ -109,14 +109,14 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: list =
 def findings_by_path(versions: DataFrame, ledger: DataFrame, path_cols: list[str], rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
     """(path columns, blob, rule, start, end, digest) of every path that ever held a blob with findings.
 
-    ``start`` and ``end`` count characters; the secret itself is never given, only its SHA-256. Rows alike in path and text count once.
+    A column whose name a path column has gets an underscore behind it. ``start`` and ``end`` count characters; the secret itself is never given, only its SHA-256. Rows alike in path and text count once.
     """
-    names = {"blob", "rule", "start", "end", "digest"} & {c.lower() for c in path_cols}
-    if names:
-        raise ValueError(f"path columns may not be named {sorted(names)}")
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", F.explode("findings").alias("f")).select("blob", "f.*")
-    paths = versions.where(q(text_col).isNotNull()).select(*[q(c) for c in path_cols], blob_id(text_col).alias("blob")).distinct()
-    return paths.join(hits, "blob").select(*[q(c) for c in path_cols], "blob", "rule", "start", "end", "digest")
+    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias("__blob"), F.explode("findings").alias("f"))
+    taken = {c.lower() for c in path_cols}
+    hits = hits.select("__blob", *[F.col(f"f.{c}").alias(f"{c}_" if c in taken else c) for c in ("rule", "start", "end", "digest")])
+    paths = versions.where(q(text_col).isNotNull()).select(*[q(c) for c in path_cols], blob_id(text_col).alias("__blob")).distinct()
+    out = paths.join(hits, "__blob").withColumnRenamed("__blob", "blob") if "blob" not in {c.lower() for c in path_cols} else paths.join(hits, "__blob").withColumnRenamed("__blob", "blob_")
+    return out.select(*[q(c) for c in path_cols], *[q(c) for c in out.columns if c not in path_cols])
 
 
 def redact_secrets(docs: DataFrame, rules: list = RULES, by: str = REDACTED, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

@@ -31,6 +31,8 @@ def test_ledger_scans_only_what_is_new(spark):
     assert got == {("a", 1, "assigned_secret"), ("b", 1, "assigned_secret"), ("f", 1, "assigned_secret"), ("g", 1, "cloud_access_key")}
     assert findings_by_path(two, first.union(new), ["path", "version"]).count() == 4
     assert scan_new(two, first.union(new)).count() == 0
+    odd = findings_by_path(two.withColumnsRenamed({"path": "rule", "version": "blob"}), first, ["rule", "blob"])
+    assert odd.columns == ["rule", "blob", "blob_", "rule_", "start", "end", "digest"] and odd.count() == 3
     assert scan_new(two, first, rule_version="2").count() == 5
     assert scan_new(one.limit(0)).count() == 0
 
