@@ -2,6 +2,8 @@
 
 Pages of a host are put in the order of their URL paths; the nearest page is the neighbour that shares the longer prefix of the path. The text lines of
 the two are aligned by a longest common subsequence, and the lines in it (navigation, headers, footers) are deleted.
+
+Only URLs go through the per-host order, only hashes of lines through the pairing, and texts move once, to be cut; so a host of very many pages weighs little.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import in_arrow, q, row_key
+from sparkloom.llm._common import NOT_SPACE, durable, hash_words, in_arrow, mix, q, row_key, split_words, text_chunks
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|main|aside|blockquote|pre|form|hr|dd|dt|dl|figure|figcaption|body|html|option|select|button)\b[^>]*|!doctype[^>]*)>", re.I)
@@ -40,7 +43,7 @@ def locate(url: str | None) -> tuple[str | None, str]:
     return host or None, (m[3] or "/") + (m[4] or "")
 
 
-def common_lines(a: list[str], b: list[str]) -> list[int]:
+def common_lines(a: list, b: list) -> list[int]:
     """Indices in ``a`` of a longest common subsequence with ``b``; bit-parallel rows (Hyyro, 2004), so long pages do not cost a table of cells."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -49,7 +52,7 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, line in enumerate(y):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(y)) - 1
@@ -72,17 +75,38 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return [*range(lo), *reversed(mid), *range(len(a) - hi, len(a))]
 
 
-def _parse(b: pa.RecordBatch) -> Iterator[dict]:
-    hosts, paths, lines = [], [], []
-    for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-        host, path = locate(url)
-        hosts.append(host)
-        paths.append(path)
-        lines.append("\n".join(text_lines(page)))
-    yield {"page_id": b.column("page_id"), "key": b.column("key"), "host": hosts, "path": paths, "lines": lines}
+def line_hashes(lines: pa.Array) -> list[np.ndarray]:
+    """A 64-bit hash of each line of each text, over its words and their places; lines hold single blanks only."""
+    out: list[np.ndarray] = []
+    for _, _, buf, offs in text_chunks(lines):
+        cut = np.union1d(np.flatnonzero(buf == 10) + 1, offs[:-1])
+        cut = cut[cut < len(buf)]
+        st, en, first, m = split_words(buf, np.append(cut, len(buf)), NOT_SPACE)
+        h = hash_words(buf, st, en, m)
+        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(place.astype(np.uint64))), dtype=np.uint64)])
+        line = mix(total[first[1:]] - total[first[:-1]]).view(np.int64)
+        at = np.searchsorted(cut, offs)
+        out += [line[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
+
+
+def _lines_of(b: pa.RecordBatch) -> pa.Array:
+    return pa.array(["\n".join(text_lines(page)) for page in b.column("html").to_pylist()], pa.string())
+
+
+def _place(b: pa.RecordBatch) -> Iterator[dict]:
+    where = [locate(url) for url in b.column("url").to_pylist()]
+    yield {"page_id": b.column("page_id"), "key": b.column("key"), "host": [h for h, _ in where], "path": [p for _, p in where]}
+
 
+def _hashes(b: pa.RecordBatch) -> Iterator[dict]:
+    yield {"key": b.column("key"), "hashes": [x.tolist() for x in line_hashes(_lines_of(b))]}
 
-def _shared_prefix(a: str, b: str) -> int:
+
+def _shared_prefix(a: str, b: str | None) -> int:
+    if b is None:
+        return -1
     n = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
@@ -91,47 +115,30 @@ def _shared_prefix(a: str, b: str) -> int:
     return n
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by host, path and page. Pages of one path form a group; a group's first page stands for it in comparisons."""
-    out: list[tuple] = []
-
-    def emit(group: list[tuple], before: tuple | None, after: tuple | None) -> None:
-        for page_id, _, host, path, lines in group:
-            pair = None
-            if host is not None:
-                near = [p for p in (before, after) if p is not None and p[2] == host]
-                if near:
-                    pair = max(near, key=lambda p: _shared_prefix(p[3], path))  # ties: the one before
-            own = lines.split("\n") if lines else []
-            gone = set(common_lines(own, pair[4].split("\n") if pair[4] else [])) if pair else set()
-            out.append((page_id, None if pair is None else pair[0], "\n".join(x for i, x in enumerate(own) if i not in gone), len(own), len(gone)))
-
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
-
-    schema = pa.schema([("page_id", pa.int64()), ("pair_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int32()), ("n_deleted", pa.int32())])
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-        out.clear()
-        return batch
-
-    before: tuple | None = None
-    group: list[tuple] = []
-    for r in rows():
-        if group and (r[2] != group[0][2] or r[3] != group[0][3]):
-            emit(group, before, r)
-            before, group = group[0], []
-        if group and group[-1][1] == r[1]:
-            continue  # a repeated row
-        group.append(r)
-        if len(out) >= 1000:
-            yield flush()
-    if group:
-        emit(group, before, None)
-    yield flush()
+def _nearer(b: pa.RecordBatch) -> Iterator[dict]:
+    """Of the paths before and after, the one that shares the longer prefix; the one before of two alike."""
+    keys, ids = [], []
+    for path, before, after in zip(b.column("path").to_pylist(), b.column("before").to_pylist(), b.column("after").to_pylist(), strict=True):
+        x, y = _shared_prefix(path, before and before["path"]), _shared_prefix(path, after and after["path"])
+        best = before if x >= y else after
+        keys.append(best and best["key"])
+        ids.append(best and best["page_id"])
+    yield {"host": b.column("host"), "path": b.column("path"), "pair_key": keys, "pair_id": ids}
+
+
+def _align(b: pa.RecordBatch) -> Iterator[dict]:
+    gone = [common_lines(x, y) for x, y in zip(b.column("hashes").to_pylist(), b.column("pair_hashes").to_pylist(), strict=True)]
+    yield {"key": b.column("key"), "pair_id": b.column("pair_id"), "gone": gone}
+
+
+def _cut(b: pa.RecordBatch) -> Iterator[dict]:
+    texts, sizes, counts = [], [], []
+    for lines, gone in zip(b.column("lines").to_pylist(), b.column("gone").to_pylist(), strict=True):
+        own, drop = lines.split("\n") if lines else [], set(gone or [])
+        texts.append("\n".join(x for i, x in enumerate(own) if i not in drop))
+        sizes.append(len(own))
+        counts.append(len(drop))
+    yield {"page_id": b.column("page_id"), "pair_id": b.column("pair_id"), "text": texts, "n_lines": sizes, "n_deleted": counts}
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -143,8 +150,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     id may have several pages. An empty table gives an empty result; other columns are not read.
     """
     d = pages.select(q(id_col).cast("long").alias("page_id"), row_key(id_col, url_col, html_col).alias("key"), q(url_col).alias("url"), F.coalesce(q(html_col), F.lit("")).alias("html"))
-    parsed = in_arrow(_parse, d, "page_id long, key long, host string, path string, lines string")
-    # a host's pages pass through one task in order, three groups in memory at a time; pages without host are spread
-    spread = parsed.repartition(F.coalesce("host", F.col("key").cast("string")))
-    ordered = spread.sortWithinPartitions(F.col("host"), F.col("path"), F.col("page_id").asc_nulls_last(), "key")
-    return ordered.mapInArrow(_difference, "page_id long, pair_id long, text string, n_lines int, n_deleted int")
+    placed = durable(in_arrow(_place, d.select("page_id", "key", "url"), "page_id long, key long, host string, path string").where("host is not null").distinct())
+    # one row a path, then its neighbours: URLs only
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "key"))
+    paths = placed.groupBy("host", "path").agg(first.alias("r")).select("host", "path", F.struct("path", "r.key", "r.page_id").alias("r"))
+    near = Window.partitionBy("host").orderBy("path")
+    sides = paths.select("host", "path", F.lag("r").over(near).alias("before"), F.lead("r").over(near).alias("after")).where("before is not null or after is not null")
+    chosen = in_arrow(_nearer, sides, "host string, path string, pair_key long, pair_id long")
+    pairs = placed.join(chosen, ["host", "path"]).select("key", "pair_key", "pair_id")
+    hashes = durable(in_arrow(_hashes, d.select("key", "html"), "key long, hashes array<long>").dropDuplicates(["key"]))
+    both = pairs.join(hashes, "key").join(hashes.select(F.col("key").alias("pair_key"), F.col("hashes").alias("pair_hashes")), "pair_key")
+    gone = in_arrow(_align, both.select("key", "pair_id", "hashes", "pair_hashes"), "key long, pair_id long, gone array<int>")
+    lines = in_arrow(lambda b: iter([{"page_id": b.column("page_id"), "key": b.column("key"), "lines": _lines_of(b)}]), d.select("page_id", "key", "html"), "page_id long, key long, lines string")
+    whole = lines.join(gone.hint("merge"), "key", "left").dropDuplicates(["key"])
+    return in_arrow(_cut, whole.select("page_id", "pair_id", "lines", "gone"), "page_id long, pair_id long, text string, n_lines int, n_deleted int")
