@@ -117,14 +117,10 @@ def interpolate(df: DataFrame, columns: str | list[str], categories: str | list[
         d = d.withColumn("__h", here)
         d = last_known(d, "__h", "__a", categories)
         d = last_known(d, "__h", "__b", categories, back=True)
-        # the known point before the last known one, and the one after the next
-        earlier = F.when(F.col("__h").isNotNull(), F.struct(F.col("__pa").alias("p"), F.col("__h").alias("h")))
-        d = _shifted(d, categories)
-        d = last_known(d, earlier, "__a2", categories)
-        later = F.when(F.col("__h").isNotNull(), F.struct(F.col("__pb").alias("p"), F.col("__h").alias("h")))
-        d = last_known(d, later, "__b2", categories, back=True)
-        p = F.coalesce(F.when(F.col("__b").isNotNull(), F.col("__a")), F.col("__a2.p"), F.col("__b"))
-        r = F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), F.col("__b")).when(F.col("__a").isNotNull(), F.col("__a")).otherwise(F.col("__b2.p"))
+        # before the first and beyond the last known point the line goes through the two at that end
+        d = _with_ends(d, categories)
+        p = F.coalesce(F.when(F.col("__b").isNotNull(), F.col("__a")), F.when(F.col("__b").isNull(), F.col("__p2")), F.col("__b"))
+        r = F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), F.col("__b")).when(F.col("__a").isNotNull(), F.col("__a")).otherwise(F.col("__n2"))
         line = F.when(F.col("__h").isNotNull(), F.col("__h.y")).otherwise(
             F.when(r.isNull() | (p["x"] == r["x"]), F.coalesce(p["y"], r["y"])).otherwise(p["y"] + (r["y"] - p["y"]) * (F.col("__x") - p["x"]) / F.when(p["x"] != r["x"], r["x"] - p["x"]))
         )
@@ -135,17 +131,15 @@ def interpolate(df: DataFrame, columns: str | list[str], categories: str | list[
     return df
 
 
-def _shifted(d: DataFrame, cats: str | list[str] | None) -> DataFrame:
-    """Adds the known point strictly before and strictly after each row."""
-    if listed(cats):
-        w = by(cats)
-        return d.withColumns({"__pa": F.lag("__a").over(w), "__pb": F.lead("__b").over(w)})
-
-    def make(x: DataFrame, _w) -> DataFrame:
-        w = Window.partitionBy("__s").orderBy("__n")
-        return x.withColumns({"__pa": F.lag("__a").over(w), "__pb": F.lead("__b").over(w)})
-
-    return framed(d, 1, 1, None, make)
+def _with_ends(d: DataFrame, cats: str | list[str] | None) -> DataFrame:
+    """Adds the second known point of each group and the last but one, from two small aggregations."""
+    names = listed(cats)
+    known = d.where(F.col("__h").isNotNull()).select(*[col(c) for c in names], ORD, "__h")
+    ends = known.groupBy(*[col(c) for c in names]).agg(F.min(ORD).alias("__f"), F.max(ORD).alias("__l"))
+    inner = (known.join(ends, names) if names else known.crossJoin(F.broadcast(ends))).groupBy(*[col(c) for c in names]).agg(
+        F.min_by("__h", F.when(F.col(ORD) > F.col("__f"), F.col(ORD))).alias("__n2"), F.max_by("__h", F.when(F.col(ORD) < F.col("__l"), F.col(ORD))).alias("__p2")
+    )
+    return d.join(inner, names, "left") if names else d.crossJoin(F.broadcast(inner))
 
 
 def proportions_horizontal(df: DataFrame, columns: list[str], suffix: str = "Perc", decimals: int | None = None) -> DataFrame:

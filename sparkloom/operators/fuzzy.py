@@ -94,8 +94,26 @@ def fuzzy_clean(df: DataFrame, column: str, new: str, threshold: float, method:
     return out.withColumn(new, F.coalesce("__to", col(column))).drop("__v", "__to")
 
 
+#: Up to so many pairs are put together on the driver; more of them on the executors, with the same result.
+DRIVER_PAIRS = 100_000
+
+
 def _clusters(edges: DataFrame) -> DataFrame:
-    """(v, root) of connected values: least-label propagation with pointer jumping, so long chains take few rounds."""
+    """(v, root) of connected values: a union-find if pairs are few, else least-label propagation with pointer jumping, so long chains take few rounds."""
+    few = edges.select("a", "b").limit(DRIVER_PAIRS + 1).collect()
+    if len(few) <= DRIVER_PAIRS:
+        up: dict[str, str] = {}
+
+        def root(v: str) -> str:
+            while up.setdefault(v, v) != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        for e in few:
+            x, y = root(e.a), root(e.b)
+            up[max(x, y)] = min(x, y)
+        return edges.sparkSession.createDataFrame([(v, root(v)) for v in list(up)], "v string, root string")
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("v"), "root").persist()
     while True:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +26,18 @@ STEMMERS = ("porter", "english", "none")
 
 @dataclass
 class TextIndex:
-    """postings (id, term, tf), sizes (id, length), and how texts become terms."""
+    """The texts' terms (id, terms), and how texts become terms."""
 
-    postings: DataFrame
-    sizes: DataFrame
+    docs: DataFrame
     id_col: str
     text_col: str
     options: dict = field(default_factory=dict)
 
+    @property
+    def postings(self) -> DataFrame:
+        """The inverted index: (id, term, tf)."""
+        return self.docs.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
 def terms(text: Column, stemmer: str = "porter", stopwords: str | list[str] = "english", ignore: str = r"(\.|[^a-z])+", strip_accents: bool = True, lower: bool = True) -> Column:
     """The terms of a text, as an array."""
@@ -40,7 +45,7 @@ def terms(text: Column, stemmer: str = "porter", stopwords: str | list[str] = "e
         raise ValueError(f"unknown stemmer {stemmer!r}; there are {STEMMERS}")
     c = unaccented(text) if strip_accents else text
     c = F.lower(c) if lower else c
-    words = F.filter(F.split(F.regexp_replace(c, ignore, " "), r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.regexp_replace(c, ignore, " "), " "), "")
     stop = ENGLISH if stopwords == "english" else [] if stopwords == "none" else list(stopwords)
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
@@ -59,8 +64,7 @@ def create_index(df: DataFrame, id_col: str, text_col: str, **options) -> TextIn
     """An inverted index. Ids should be unique; null texts are not in it."""
     need(df, [id_col, text_col])
     t = df.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), terms(col(text_col), **options).alias("terms"))
-    postings = t.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return TextIndex(postings, t.select("id", F.size("terms").alias("length")), id_col, text_col, options)
+    return TextIndex(t, id_col, text_col, options)
 
 
 def bm25(df: DataFrame, index: TextIndex, text: str, k: int, k1: float = 1.2, b: float = 0.75, conjunctive: bool = False, min_score: float | None = None, score_column: str | None = None) -> DataFrame:
@@ -68,16 +72,18 @@ def bm25(df: DataFrame, index: TextIndex, text: str, k: int, k1: float = 1.2, b:
     spark = df.sparkSession
     query = spark.createDataFrame([(text,)], "t string").select(F.explode(F.array_distinct(terms(F.col("t"), **index.options))).alias("term"))
     words = [r.term for r in query.collect()]
-    stats = index.sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"))
-    hits = index.postings.where(F.col("term").isin(words)) if words else index.postings.limit(0)
-    df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg")))
     name = score_column or "__score"
-    # one row of statistics and one row a query term: both are tiny whatever the corpus is
-    scored = hits.join(F.broadcast(df_), "term").join(index.sizes, "id").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias(name), F.count(F.lit(1)).alias("__terms"))
-    if conjunctive:
-        scored = scored.where(F.col("__terms") == len(words))
+    # one pass over the texts leaves an id and a few numbers of each; statistics and scores come from these
+    counts = [F.size("terms") - F.size(F.array_remove("terms", w)) for w in words]
+    seen = index.docs.select("id", F.size("terms").alias("length"), F.array(*counts, F.lit(0)).alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = seen.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(words))])
+    part = [
+        F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1) * F.col("tf")[i] * (k1 + 1) / (F.col("tf")[i] + k1 * (1 - b + b * F.col("length") / F.col("avg")))
+        for i in range(len(words))
+    ]
+    hits = F.size(F.filter("tf", lambda x: x > 0))
+    # the statistics are one row
+    scored = seen.where(hits >= (len(words) if conjunctive and words else 1)).crossJoin(F.broadcast(stats)).select("id", sum(part, F.lit(0.0)).alias(name))
     if min_score is not None:
         scored = scored.where(col(name) >= min_score)
     best = scored.orderBy(col(name).desc(), "id").limit(k).select(F.col("id").alias("__id"), col(name))
