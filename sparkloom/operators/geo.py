@@ -286,8 +286,8 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     Boxes are put into grids of cells as large as they are; the smaller one is put into coarser grids too, so any two boxes that meet share a cell
     of the larger one's grid, and the pair is checked in one of them only.
     """
-    if method not in ("intersect", "inside", "within"):
-        raise ValueError(f"unknown method {method!r}")
+    if method not in ("intersect", "inside", "within") or how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown method {method!r} or join {how!r}")
     lc, rc = geo_column(left, left_column), geo_column(right, right_column)
     clash = [c for c in visible(left) if c in visible(right)]
     if clash:
@@ -297,6 +297,8 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     grow = 0.0 if method != "within" else float(reach)  # type: ignore[arg-type]
     l = ordered(left).withColumn("__box", _box(col(lc)))
     r = right.drop(ORD).withColumn("__rbox", _box(col(rc)))
+    if how in ("right", "full"):
+        r = r.withColumn("__rid", F.monotonically_increasing_id())
     if grow and measure == "srs":
         l = l.withColumn("__box", F.array(*[F.col("__box")[i] + (grow if i > 1 else -grow) for i in range(4)]))
     elif grow:
@@ -328,12 +330,12 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     else:
         test = G.intersects if method == "intersect" else (lambda x, y: G.covers(y, x))
     pairs = cand.where(udf(of(test), "boolean", F.col("__a"), col(rc))).drop("__a", "__box", "__l", "__level", "__x", "__y", "__rbox", "__rl").withColumnRenamed(ORD, "__of")
-    out = left if ORD in left.columns else ordered(left)
-    joined = out.join(pairs, out[ORD] == F.col("__of"), "left" if how in ("left", "full") else "inner").drop("__of")
-    if how in ("right", "full"):
-        # right rows without a partner, told apart by a number given before the join
-        raise ValueError("spatial joins are inner or left")
-    return joined
+    out = ordered(left)
+    matched = out.join(pairs.drop("__rid"), out[ORD] == F.col("__of"), "left" if how in ("left", "full") else "inner").drop("__of")
+    if how in ("left", "inner"):
+        return matched
+    alone = r.drop("__rbox", "__rl").join(pairs.select("__rid").distinct(), "__rid", "left_anti").drop("__rid")
+    return matched.unionByName(alone.withColumn(ORD, F.lit(1 << 62) + F.monotonically_increasing_id()), allowMissingColumns=True)
 
 
 def read_geojson(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -441,3 +443,55 @@ def read_dbf(path: str) -> tuple[list[str], list[list[Any]]]:
             row.append(None if t == "" or set(t) == {"*"} else float(t) if kind in "NF" else t.upper() in ("T", "Y") if kind == "L" else t)
         rows.append(row)
     return [f[0] for f in fields], rows
+
+
+def write_shp(path: str, geometries: list[G.Geometry | None], names: list[str], data: list[list[Any]]) -> None:
+    """A shapefile: .shp, .shx and .dbf. All geometries must be of one kind; numbers and texts are kept, other values as text."""
+    import struct
+
+    kinds = {g["type"].removeprefix("Multi") for g in geometries if g}
+    if len(kinds) > 1:
+        raise ValueError(f"a shapefile holds one kind of geometry, not {sorted(kinds)}")
+    code = {"Point": 1, "LineString": 3, "Polygon": 5}[kinds.pop() if kinds else "Point"]
+    if code == 1 and any(g and g["type"] == "MultiPoint" for g in geometries):
+        code = 8
+    records = []
+    for g in geometries:
+        if g is None:
+            records.append(struct.pack("<i", 0))
+            continue
+        box = struct.pack("<4d", *G.bounds(g))  # type: ignore[misc]
+        if code == 1:
+            records.append(struct.pack("<idd", 1, *g["coordinates"]))
+        elif code == 8:
+            v = G.vertices(g)
+            records.append(struct.pack("<i", 8) + box + struct.pack("<i", len(v)) + b"".join(struct.pack("<dd", *p) for p in v))
+        else:
+            rings = G.lines(g)
+            if code == 5:  # outer rings with the clock, holes against it
+                rings = [r if (G.signed_area(r) < 0) == (i == 0) else r[::-1] for poly in G.polygons(g) for i, r in enumerate(poly)]
+            starts = [sum(len(r) for r in rings[:i]) for i in range(len(rings))]
+            v = [p for r in rings for p in r]
+            records.append(struct.pack("<i", code) + box + struct.pack("<ii", len(rings), len(v)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<dd", *p[:2]) for p in v))
+    boxes = [b for g in geometries if g and (b := G.bounds(g))]
+    whole = struct.pack("<8d", *([min(b[i] for b in boxes) for i in (0, 1)] + [max(b[i] for b in boxes) for i in (2, 3)] if boxes else [0.0] * 4), 0, 0, 0, 0)
+    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i", 1000, code) + whole
+    with open(path, "wb") as f, open(path[:-4] + ".shx", "wb") as x:
+        f.write(head(100 + sum(len(r) + 8 for r in records)))
+        x.write(head(100 + 8 * len(records)))
+        at = 100
+        for i, r in enumerate(records):
+            f.write(struct.pack(">2i", i + 1, len(r) // 2) + r)
+            x.write(struct.pack(">2i", at // 2, len(r) // 2))
+            at += len(r) + 8
+    texts = [["" if v is None else repr(v) if isinstance(v, float) else str(v) for v in row] for row in data]
+    number = [all(v is None or (isinstance(v, (int, float)) and not isinstance(v, bool)) for v in (row[j] for row in data)) for j in range(len(names))]
+    wide = [min(254, max([1, *[len(t[j].encode()) for t in texts]])) for j in range(len(names))]
+    with open(path[:-4] + ".dbf", "wb") as f:
+        f.write(struct.pack("<4BIHH20x", 3, 124, 1, 1, len(data), 33 + 32 * len(names), 1 + sum(wide)))
+        for n, is_number, w in zip(names, number, wide, strict=True):
+            f.write(struct.pack("<11sc4xBB14x", n.encode("latin-1", "replace")[:10], b"N" if is_number else b"C", w, 15 if is_number and any("." in t[names.index(n)] for t in texts) else 0))
+        f.write(b"\r")
+        for t in texts:
+            f.write(b" " + b"".join((c.encode()[:w].rjust(w) if is_number else c.encode()[:w].ljust(w)) for c, w, is_number in zip(t, wide, number, strict=True)))
+        f.write(b"\x1a")

@@ -27,7 +27,9 @@ def longer(df: DataFrame, columns: list[str], columns_to: str, values_to: str) -
     d = ordered(df)
     out = d.select(*[col(c) for c in keep], ORD, F.posexplode(rows).alias("__p", "__r"))
     # the place of each new row follows from its old row's place, without a sort
-    return out.select(*[col(c) for c in keep], F.col("__r.n").alias(columns_to), F.col("__r.v").alias(values_to), ORD)
+    bits = max(1, (len(columns) - 1).bit_length())
+    place = F.shiftleft(ORD, bits) + F.col("__p")
+    return out.select(*[col(c) for c in keep], F.col("__r.n").alias(columns_to), F.col("__r.v").alias(values_to), place.alias(ORD))
 
 
 def wider(df: DataFrame, columns_from: str, values_from: str) -> DataFrame:

@@ -142,8 +142,16 @@ class Table(CamelCase):
         return sinks.write_data(self.ordered_df, path, **options)
 
     def write_geo_data(self, path: str, *, precision: int | None = None, rewind: bool = False, metadata: dict | None = None, compression: bool = False, format_dates: bool = False) -> str:
-        """GeoJSON or Parquet with WKB (.geoparquet)."""
+        """GeoJSON, Parquet with WKB (.geoparquet) or a shapefile (.shp)."""
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        if path.endswith(".shp"):
+            if precision is not None or rewind or metadata or format_dates or compression:
+                raise ValueError("shapefiles have no options")
+            c = geo.geo_column(self.df)
+            names = [x for x in self.get_columns() if x != c]
+            data = in_order(self.ordered_df).collect()
+            geo.write_shp(path, [geo.G.from_wkb(r[c]) for r in data], names, [[sinks._plain(r[x]) for x in names] for r in data])
+            return path
         if path.endswith(".geoparquet"):
             if precision is not None or rewind or metadata or format_dates:
                 raise ValueError("these options are for GeoJSON")
@@ -152,7 +160,7 @@ class Table(CamelCase):
             shutil.move(with_parquet, path)
             return path
         if not path.endswith((".geojson", ".json")):
-            raise ValueError(f"{path} can't be written; use .geojson or .geoparquet")
+            raise ValueError(f"{path} can't be written; use .geojson, .geoparquet or .shp")
         if compression:
             raise ValueError("GeoJSON is not compressed")
         df = sinks._iso(self.ordered_df) if format_dates else self.ordered_df

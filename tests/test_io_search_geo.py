@@ -180,5 +180,14 @@ def test_geo_table(db, tmp_path):
     assert db.new_table().load_geo_data(str(tmp_path / "o.geojson")).reproject("EPSG:3857").get_projection() == "EPSG:3857"
     t.clone_table(columns=["name", "geom"]).write_geo_data(str(tmp_path / "o.geoparquet"))
     assert db.new_table().load_geo_data(str(tmp_path / "o.geoparquet")).get_nb_rows() == 3
+    t.clone_table(columns=["name", "g", "geom"]).write_geo_data(str(tmp_path / "s.shp"))
+    back = db.new_table().load_geo_data(str(tmp_path / "s.shp"))
+    assert back.get_columns() == ["name", "g", "geom"] and back.get_values("g") == [1, 1, 2] and back.get_bounding_box() == [0, 0, 11, 11]
+    back.area("a", column="geom")
+    assert back.get_values("a") == pytest.approx(t.clone_table(columns=["geom"]).area("a").get_values("a"))
+    areas = db.get_table("areas").clone_table("areas2")
+    full = pts.clone_table("pf").join_geo(areas, "inside", type="full", output_table=True)
+    right = pts.clone_table("pr").filter("who = 'q'").join_geo(areas, "inside", type="right", output_table=True)
+    assert full.get_nb_rows() == 4 and right.get_nb_rows() == 3 and sorted(right.get_values("name")) == ["A", "B", "C"]
     with pytest.raises(ValueError):
         t.get_data()

@@ -100,6 +100,9 @@ def test_convert(db):
     assert t.clone_table().convert({"t": "string"}, datetime_format="%d-%m-%Y").get_values("t") == ["02-01-2010"]
     assert t.clone_table().convert({"t": "string"}).get_values("t") == ["2010-01-02 03:04:00"]
     assert t.clone_table().convert({"t": "number"}).get_values("t") == [1262401440000.0]
+    h = table(db, [{"x": "12:34:56.5"}]).convert({"x": "time"})
+    assert h.get_values("x") == [dt.time(12, 34, 56, 500_000)] and h.convert({"x": "number"}).get_values("x") == [45_296_500]
+    assert h.convert({"x": "time"}).get_values("x") == [dt.time(12, 34, 56, 500_000)]
     assert table(db, [{"x": "abc"}]).convert({"x": "float"}, try_=True).get_values("x") == [None]
 
 
