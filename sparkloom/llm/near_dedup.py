@@ -63,13 +63,17 @@ def _bucket_pairs(threshold: float, bits: int):
 
 def _groups(d: DataFrame, threshold: float, shingle: int, bands: int, width: int, bits: int) -> DataFrame:
     """(key, root) of the documents (key, text) that have near duplicates."""
-    sigs = durable(in_arrow(_signatures(shingle, bands, width, bits), d, "key long, sig binary, bands array<long>"))
+    sigs = in_arrow(_signatures(shingle, bands, width, bits), d, "key long, sig binary, bands array<long>")
+    # documents of one signature are near duplicates already: one of them goes on for all, so copies by the million weigh as one
+    all_sigs = durable(sigs.withColumn("rep", F.min("key").over(Window.partitionBy("sig"))))
+    sigs = all_sigs.where("key = rep")
     bucket = Window.partitionBy("band")
     band = sigs.select(F.explode("bands").alias("band"), "key")
     shared = band.withColumn("a", F.min("key").over(bucket)).withColumn("b", F.max("key").over(bucket)).where("a <> b").select("band", "key").distinct()
     # only rows that share a bucket carry their signature
     meet = shared.join(sigs.select("key", "sig").dropDuplicates(["key"]), "key").repartition("band").sortWithinPartitions("band", "key")
     edges = meet.mapInArrow(_bucket_pairs(threshold, bits), "u long, v long").where("u <> v")
+    edges = edges.unionByName(all_sigs.where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v")))
     return components(edges).withColumnRenamed("node", "key")
 
 
