@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,14 +169,42 @@ def normalize(df: DataFrame, column: str, new: str, categories: str | list[str]
     return d.withColumn(new, rounded(divide(col(column) - F.col("__a"), F.col("__b") - F.col("__a")), decimals)).drop("__a", "__b")
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], discrete: bool = False) -> list[float | None]:
+    """Exact quantiles of a whole column: values are counted, sorted by range and counted up run by run, so no task holds them all; only the values at the wanted places come back."""
+    counts = df.where(col(column).isNotNull()).groupBy(col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c")).first()[0]
+    if not n:
+        return [None] * len(shares)
+    places: set[int] = set()
+    for q in shares:
+        at = max(0, math.ceil(q * n) - 1) if discrete else (n - 1) * q
+        places |= {math.floor(at), math.ceil(at)}
+    upto = running_sum(counts.orderBy("v").withColumn(ORD, F.monotonically_increasing_id()), "c", "s")
+    hit = F.exists(F.array(*[F.lit(p) for p in sorted(places)]), lambda p: (p < F.col("s")) & (p >= F.col("s") - F.col("c")))
+    rows = upto.where(hit).select("v", "s", "c").collect()
+    value = {p: next(r.v for r in rows if r.s - r.c <= p < r.s) for p in places}
+    out: list[float | None] = []
+    for q in shares:
+        at = max(0, math.ceil(q * n) - 1) if discrete else (n - 1) * q
+        a, b = value[math.floor(at)], value[math.ceil(at)]
+        out.append(a + (b - a) * (at - math.floor(at)))
+    return out
+
+
 def outliers_iqr(df: DataFrame, column: str, new: str, categories: str | list[str] | None = None) -> DataFrame:
     """Whether a value is farther than 1.5 interquartile ranges from the quartiles: discrete ones if the table has an even number of rows, else continuous."""
     cats = listed(categories)
     kind = "percentile_disc" if df.count() % 2 == 0 else "percentile_cont"
+    if not cats:
+        q1, q3 = exact_quantiles(df, column, [0.25, 0.75], kind == "percentile_disc")
+        if q1 is None or q3 is None:
+            return df.withColumn(new, F.lit(False))
+        reach = 1.5 * (q3 - q1)
+        return df.withColumn(new, F.coalesce((col(column) > q3 + reach) | (col(column) < q1 - reach), F.lit(False)))
     name = "`" + column.replace("`", "``") + "`"
     q = {f"__q{i}": F.expr(f"{kind}({p}) within group (order by cast({name} as double))") for i, p in ((1, 0.25), (3, 0.75))}
     bounds = df.groupBy(*[col(c) for c in cats]).agg(*[e.alias(n) for n, e in q.items()])
-    d = df.join(bounds, cats, "left") if cats else df.crossJoin(F.broadcast(bounds))
+    d = df.join(bounds, cats, "left")
     gap = F.col("__q3") - F.col("__q1")
     far = (col(column) > F.col("__q3") + 1.5 * gap) | (col(column) < F.col("__q1") - 1.5 * gap)
     return d.withColumn(new, F.coalesce(far, F.lit(False))).select(*[col(c) for c in df.columns if c != new], col(new))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.exprs import rounded
-from sparkloom.operators import aggregate, joins, rows
+from sparkloom.operators import aggregate, analytic, joins, rows
 from sparkloom.session import Session
 from sparkloom.table import Table
 
@@ -94,8 +94,8 @@ def linear_regressions(t: Tables) -> DataFrame:
 
 @query("SELECT round(quantile_cont(o_totalprice, 0.1), 2) AS p10, round(quantile_cont(o_totalprice, 0.5), 2) AS p50, round(quantile_cont(o_totalprice, 0.9), 2) AS p90 FROM orders")
 def quantile(t: Tables) -> DataFrame:
-    x = F.col("o_totalprice")
-    return t.orders.df.agg(*[rounded(F.percentile(x, F.lit(p)), 2).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
+    q = analytic.exact_quantiles(t.orders.df, "o_totalprice", [0.1, 0.5, 0.9])
+    return t.session.spark.createDataFrame([tuple(q)], "p10 double, p50 double, p90 double").select(*[rounded(F.col(c), 2).alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -369,6 +369,11 @@ def outliers_iqr(t: Tables) -> Table:
     return t.events.add_column("v", "double", "value * value").outliers_iqr("v", "far", categories="event_type").select_columns(["event_id", "far"])
 
 
+@query("WITH b AS (SELECT CASE WHEN count(*) % 2 = 0 THEN quantile_disc(v, 0.25) ELSE quantile_cont(v, 0.25) END AS q1, CASE WHEN count(*) % 2 = 0 THEN quantile_disc(v, 0.75) ELSE quantile_cont(v, 0.75) END AS q3 FROM (SELECT value * value AS v FROM events)) SELECT event_id, value * value > q3 + 1.5 * (q3 - q1) OR value * value < q1 - 1.5 * (q3 - q1) AS far FROM events, b")
+def outliers_iqr_whole(t: Tables) -> Table:
+    return t.events.add_column("v", "double", "value * value").outliers_iqr("v", "far").select_columns(["event_id", "far"])
+
+
 @query("SELECT p_partkey, '[' || (1 + 10 * ((p_size - 1) // 10))::VARCHAR || '-' || (10 + 10 * ((p_size - 1) // 10))::VARCHAR || ']' AS bin FROM part")
 def bins(t: Tables) -> Table:
     return t.part.bins("p_size", 10, "bin", start_value=1).select_columns(["p_partkey", "bin"])

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import math
 import os
 import shutil
 import time
@@ -629,7 +630,8 @@ class Table(CamelCase):
         return self._stat(name, "var", decimals)
 
     def get_quantile(self, name: str, quantile: float, *, decimals: int | None = None) -> Any:
-        return self._one(F.percentile(col(name).cast("double"), F.lit(float(quantile))), decimals)
+        q = analytic.exact_quantiles(self.df, name, [float(quantile)])[0]
+        return q if q is None or decimals is None else math.copysign(math.floor(abs(q) * 10**decimals + 0.5) / 10**decimals, q)
 
     def get_nb_rows(self, *, conditions: str | None = None) -> int:
         return (self.df.where(F.expr(rewrite(conditions, condition=True))) if conditions else self.df).count()
