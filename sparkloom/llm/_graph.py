@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm._common import durable
 
 
-def _state(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars: each node has one edge down, to a node that has none."""
+    twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    on = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return twice.unionByName(on).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,8 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     The edges are cut from their lineage in the shared folder after each round.
     """
     e = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = _state(e)
-    while True:
+    while not _settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -29,8 +30,4 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = durable(small)
-        now = _state(e)
-        if now == state:
-            break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
