@@ -19,7 +19,7 @@ from sparkloom.llm._common import WORD_BYTE, hash_words, in_arrow, mix, q, row_k
 #: Labelled documents of each language, and words of each, that the model is trained on.
 SAMPLE, SAMPLE_WORDS = 100, 2000
 #: Expected share of words that a document's language must have.
-MIN_SHARE = 0.5
+MIN_SHARE = 0.4
 #: Steps of the optimiser and its ridge penalty.
 STEPS, RIDGE = 40, 1e-5
 #: Hashed features; lexicon entries follow them.
