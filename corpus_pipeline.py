@@ -19,7 +19,7 @@ from sparkloom.llm.secret_scan import redact_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language has half of the words go."""
+    """Documents without words, or in which no language has 40 % of them, go."""
     return keep_identified(docs, fit(docs))
 
 
