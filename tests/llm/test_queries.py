@@ -1,8 +1,16 @@
 import os
+import random
 
 import pytest
 
 from sparkloom.llm import queries
+from sparkloom.llm.mixing import TARGETS
+from sparkloom.llm.secret_scan import RULES, Scanner
+from tests.llm.test_html_extract import brute as differenced
+from tests.llm.test_html_extract import page
+from tests.llm.test_mixing import raking
+from tests.llm.test_near_dedup import corpus, grams, groups, jaccard
+from tests.llm.test_pipeline import SCHEMA, TOKEN, prose
 from tests.oracle import connect, differences
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -22,3 +30,73 @@ def test_matches_sql(spark, con, name):
 
 def test_one_query_for_each_operator():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    """(rows, folder) of a small table of documents; the queries run on it as they are."""
+    r = random.Random(11)
+    rows = []
+    for i, t in enumerate(corpus(3, 25)):
+        rows.append((i, t, "en", r.choice(["a", "b", "b"]), len(t)))
+    for i in range(100, 130):
+        lang = r.choice(["en", "fr"])
+        t = "\n".join(prose(r, lang, r.randint(26, 40)) for _ in range(3)) + (f"\n{TOKEN}" if i % 5 == 0 else "") + (f"\n{rows[2][1]}" if i % 6 == 0 else "")
+        rows.append((i, t, lang, r.choice(["a", "c"]), len(t)))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    return rows, str(tmp_path)
+
+
+def test_op2(spark, documents):
+    rows, folder = documents
+    s = [grams(x[1], 3) for x in rows]
+    root = groups(len(rows), lambda i, j: jaccard(s[i], s[j]) >= 0.5)
+    want = {(rows[i][0], rows[root[i]][0], i == root[i]) for i in range(len(rows)) if root.count(root[i]) > 1}
+    got = {tuple(x) for x in queries.QUERIES["op2_minhash_near_dedup"](spark, folder).collect()}
+    assert want and len(got ^ want) <= 0.05 * len(want)
+
+
+def test_op3(spark, documents):
+    rows, folder = documents
+    paras = [(x[0], i, t) for x in rows for i, t in enumerate(x[1].split("\n")) if len(t.split()) >= 25]
+    s = [grams(t, 2) for _, _, t in paras]
+    root = groups(len(paras), lambda i, j: jaccard(s[i], s[j]) >= 0.8)
+    want = {(d, i, *paras[root[n]][:2], n != root[n]) for n, (d, i, _) in enumerate(paras) if root.count(root[n]) > 1}
+    got = {(x.doc_id, x.paragraph, x.cluster_doc, x.cluster_paragraph, x.removed) for x in queries.QUERIES["op3_paragraph_dedup"](spark, folder).collect()}
+    assert want and len(got ^ want) <= 0.05 * len(want)
+
+
+def test_op5(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, f"http://h{i % 3}.com/{r.randint(1, 40)}", page("menu", *[r.choice(["shared", f"own {i} {j}"]) for j in range(5)], "foot")) for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((tuple(x) for x in queries.QUERIES["op5_html_extraction"](spark, str(tmp_path)).collect()), key=str) == differenced(rows)
+
+
+def test_op6(spark, documents):
+    rows, folder = documents
+    got = {x.doc_id: x for x in queries.QUERIES["op6_language_id"](spark, folder).collect()}
+    assert set(got) == {x[0] for x in rows} and all(got[x[0]].lang_id == x[2] and got[x[0]].accepted for x in rows if x[0] >= 100 and x[0] % 6)
+
+
+def test_op8(spark, documents):
+    rows, folder = documents
+    scanner = Scanner(RULES)
+    want = {(x[3], x[0], *f) for x in rows for f in scanner.scan(x[1])}
+    got = {(x.source, x.doc_id, x.rule, x.start, x.end, x.digest) for x in queries.QUERIES["op8_secret_scan"](spark, folder).collect()}
+    assert got == want and len(want) == 6
+
+
+def test_op10(spark, documents):
+    rows, folder = documents
+    data = [(x[0], x[1], x[3], x[2]) for x in rows]
+    goal = []
+    for name, c in (("source", 2), ("lang", 3)):
+        total: dict = {}
+        for x in data:
+            total[x[c]] = total.get(x[c], 0) + len(x[1].split())
+        goal.append((c, {k: v ** TARGETS[name] / sum(w ** TARGETS[name] for w in total.values()) for k, v in total.items()}))
+    t, rate = raking(data, goal)
+    got = {x.doc_id: x for x in queries.QUERIES["op10_mixing"](spark, folder).collect()}
+    for x, n, want in zip(data, t, rate / rate.min(), strict=True):
+        assert got[x[0]].tokens == n and abs(got[x[0]].rate - want) < 1e-6 * want and got[x[0]].copies >= 1
