@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.exprs import col, listed
-from sparkloom.operators.order import ORD, visible
+from sparkloom.operators.order import ORD, last_known, visible
 
 
 def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -56,8 +56,15 @@ def as_of_join(left: DataFrame, right: DataFrame, time: str, on: str | list[str]
     packed = F.struct(*[col(c) for c in r_cols])
     l = left.select(*[col(c) for c in keys], col(time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[col(c) for c in l_cols]).alias("__l"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("__r"))
     r = right.select(*[col(c) for c in keys], col(rt).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), packed.alias("__r"))
-    w = Window.partitionBy(*[col(c) for c in keys] or [F.lit(1)]).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = l.unionByName(r).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    both = l.unionByName(r)
+    if keys:
+        w = Window.partitionBy(*[col(c) for c in keys]).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w))
+    else:
+        # without keys: a sort by range, and the last known row carried from run to run
+        placed = both.orderBy("__t", "__side").withColumn(ORD, F.monotonically_increasing_id())
+        both = last_known(placed, "__r", "__last").drop("__r").withColumnRenamed("__last", "__r")
+    both = both.where("__side = 1")
     return both.select(*[F.col("__l")[c].alias(c) for c in l_cols], *[F.col("__r")[c].alias(c) for c in r_cols])
 
 

@@ -33,7 +33,10 @@ def _parts(directory: str) -> list[str]:
 
 
 def write_data(df: DataFrame, path: str, *, compression: bool = False, as_arrays: bool = False, format_dates: bool = False) -> str:
-    """CSV, JSON (an array of objects, or an object of arrays), Parquet or SQLite by the file's ending. Returns the path, with .gz where text is compressed."""
+    """CSV, JSON (an array of objects, or an object of arrays), Parquet or SQLite by the file's ending. Returns the path, with .gz where text is compressed.
+
+    The path must be on a file system that driver and executors share; ``write_partitioned`` takes any path that Spark knows.
+    """
     kind = extension(path)
     if any(isinstance(f.dataType, T.BinaryType) for f in df.schema) and kind != ".parquet":
         raise ValueError("geometries are written by write_geo_data")

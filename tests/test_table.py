@@ -233,6 +233,8 @@ def test_joins(db):
     assert dishes.clone_table().semi_join(cats, "dishId", anti=True).get_values("dishId") == [3]
     left = table(db, [{"t": 5, "k": "a"}, {"t": 10, "k": "a"}, {"t": 1, "k": "b"}])
     quotes = table(db, [{"t": 4, "k": "a", "p": 1}, {"t": 10, "k": "a", "p": 2}, {"t": 2, "k": "b", "p": 3}])
+    alone = left.clone_table().remove_columns("k").as_of_join(quotes.clone_table().remove_columns("k"), "t")
+    assert sorted(cols(alone.get_data(), "t", "p"), key=str) == sorted([(5, 1), (10, 2), (1, None)], key=str)
     assert cols(left.as_of_join(quotes, "t", on="k").get_data(), "t", "p") == [(5, 1), (10, 2), (1, None)]
 
 
