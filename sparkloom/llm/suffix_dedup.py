@@ -154,20 +154,28 @@ def equal_windows(right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_le
     return tuple(out)
 
 
-def _anchors(length: int):
+def _winnow(buf: np.ndarray, offs: np.ndarray, length: int):
+    """Words (starts, ends, first of each row, row of each), hash of the k words at each word, and the least hash of each window of ``length`` words; 0 for windows that leave their row."""
     k = length // 2 + 1
-    w = length - k + 1
+    st, en, first, m = split_words(buf, offs, NOT_SPACE)
+    doc = row_of(first)
+    if len(st) < length:
+        return st, en, first, doc, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    g = np.maximum(grams(hash_words(buf, st, en, m), k), np.uint64(1))
+    least = window_extreme(g, length - k + 1, np.minimum)
+    least[doc[: len(least)] != doc[length - 1 :]] = 0
+    return st, en, first, doc, g, least
+
+
+def _anchors(length: int):
+    w = length - length // 2
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
         key = b.column("key").to_numpy()
         for lo, _, buf, offs in text_chunks(b.column("text")):
-            st, en, first, m = split_words(buf, offs, NOT_SPACE)
-            if len(st) < length:
+            _, _, first, doc, g, least = _winnow(buf, offs, length)
+            if not len(least):
                 continue
-            doc = row_of(first)
-            g = np.maximum(grams(hash_words(buf, st, en, m), k), np.uint64(1))
-            least = window_extreme(g, w, np.minimum)
-            least[doc[: len(least)] != doc[length - 1 :]] = 0
             edge = np.zeros(w - 1, np.uint64)
             pick = np.flatnonzero(window_extreme(np.concatenate([edge, least, edge]), w, np.maximum) == g)
             if len(pick):
@@ -177,8 +185,7 @@ def _anchors(length: int):
 
 
 def _contexts(length: int):
-    k = length // 2 + 1
-    reach = length - k
+    w = length - length // 2
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
         key, doc_id = b.column("key").to_numpy(), b.column("doc_id")
@@ -187,15 +194,21 @@ def _contexts(length: int):
         pos, h = flat.field("pos").to_numpy(), flat.field("h").to_numpy()
         at = np.concatenate([[0], np.cumsum(np.diff(hits.offsets.to_numpy()))])
         for lo, hi, buf, offs in text_chunks(b.column("text")):
-            st, en, first, _ = split_words(buf, offs, NOT_SPACE)
+            st, en, first, _, g, least = _winnow(buf, offs, length)
             part = slice(at[lo], at[hi])
             doc = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
             p = pos[part]
-            left = np.minimum(p, reach)
-            right = np.minimum(first[doc + 1] - first[doc] - p, length)
+            pick = first[doc] + p
+            # of the windows that hold an anchor, only those go with it of which it is the least: they begin from ``most`` to ``fewest`` words before it
+            fewest, most = np.full(len(pick), w), np.full(len(pick), -1)
+            for back in range(w):
+                own = (pick >= back) & (pick - back < len(least))
+                own[own] = least[pick[own] - back] == g[pick[own]]
+                fewest[own & (most < 0)] = back
+                most[own] = back
             raw = buf.tobytes()
-            f, t = st[first[doc] + p - left], en[first[doc] + p + right - 1]
-            yield {"h": h[part], "key": key[lo + doc], "doc_id": doc_id.take(pa.array(lo + doc)), "pos": p, "left": left.astype(np.int32), "context": [raw[x:y] for x, y in zip(f.tolist(), t.tolist(), strict=True)]}
+            f, t = st[pick - most], en[pick + length - fewest - 1]
+            yield {"h": h[part], "key": key[lo + doc], "doc_id": doc_id.take(pa.array(lo + doc)), "pos": p, "left": most.astype(np.int32), "context": [raw[x:y] for x, y in zip(f.tolist(), t.tolist(), strict=True)]}
 
     return run
 
@@ -237,7 +250,7 @@ def _passages(length: int):
             x[order] = y
         # a later copy of a context repeats whatever its windows are
         owner = np.cumsum(~same) - 1
-        all_least, all_most = np.maximum(0, length - n_right), np.minimum(left[rep], reach)
+        all_least, all_most = length - n_right, left[rep]
         lo2 = np.where(same, all_least[owner], least2[owner])
         hi2 = np.where(same, all_most[owner], most2[owner])
         key, ids = t.column("key"), t.column("doc_id").combine_chunks()
