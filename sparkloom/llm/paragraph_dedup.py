@@ -1,7 +1,8 @@
 """Near-duplicate paragraphs by MinHash banding, exact verification and connected components.
 
 A paragraph is a line. Bands are tuned for recall (8 bands of 3 minima meet a pair of Jaccard 0.8 with probability 0.997); pairs that share a band
-are verified by the exact Jaccard similarity of their shingle sets, so chance collisions do no harm.
+are verified by the exact Jaccard similarity of their shingle sets, so chance collisions do no harm. A set so small that one more shingle is too much is near
+its equals only; its one band is the whole set, so that short paragraphs with a common phrase don't crowd a bucket.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from sparkloom.llm._common import WORD_BYTE, grouped, hash_words, in_arrow, mix,
 from sparkloom.llm._graph import components
 from sparkloom.llm._minhash import Hasher, band_hashes, bucket_edges, edge_batch, shingles
 
-#: Paragraphs of fewer words are left alone: short phrases recur in clean prose.
-MIN_WORDS = 25
+#: Paragraphs of fewer words, which have one shingle at most, are left alone.
+MIN_WORDS = 3
 #: Least exact Jaccard similarity of shingle sets.
 THRESHOLD = 0.8
 SHINGLE = 2
@@ -38,7 +39,17 @@ def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 _SCHEMAS = {"bands": "same long, bands array<long>", "lines": "same long, line binary", "places": "same long, key long, doc_id long, paragraph int, n_words int"}
 
 
-def _paragraphs(want: str, min_words: int, shingle: int, bands: int, width: int):
+def _whole_sets(hs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of distinct shingles of each row that has some, and a hash of all of them."""
+    o = np.lexsort((hs, of))
+    hs, of = hs[o], of[o]
+    once = np.append(True, (hs[1:] != hs[:-1]) | (of[1:] != of[:-1]))
+    hs, of = hs[once], of[once]
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    return np.diff(np.append(at, len(of))), mix(np.add.reduceat(mix(hs), at)).view(np.int64)
+
+
+def _paragraphs(want: str, min_words: int, threshold: float, shingle: int, bands: int, width: int):
     hasher = Hasher(bands * width, seed=11)
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
@@ -66,9 +77,16 @@ def _paragraphs(want: str, min_words: int, shingle: int, bands: int, width: int)
             pick = np.zeros(len(first) - 1, bool)
             pick[rows] = True
             hs, of = shingles(h, first, shingle)
-            of, minima = hasher.minima(hs[pick[of]], of[pick[of]])
-            band = band_hashes(minima, bands, width)[np.searchsorted(of, rows)]
-            yield {"same": same, "bands": pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * bands, pa.array(band.ravel()))}
+            hs, of = hs[pick[of]], of[pick[of]]
+            size, whole = _whole_sets(hs, of)
+            of, minima = hasher.minima(hs, of)
+            band = band_hashes(minima, bands, width)
+            few = size < threshold * (size + 1)
+            band[few, 0] = whole[few]
+            at = np.searchsorted(of, rows)
+            keep = (~few[at])[:, None] | (np.arange(bands) == 0)
+            ends = np.append(0, np.cumsum(keep.sum(axis=1))).astype(np.int32)
+            yield {"same": same, "bands": pa.ListArray.from_arrays(ends, pa.array(band[at][keep]))}
 
     return run
 
@@ -109,7 +127,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     doc_id and text are one document. An empty table gives an empty result; other columns are not read.
     """
     d = docs.select(row_key(id_col, text_col).alias("key"), q(id_col).cast("long").alias("doc_id"), q(text_col).alias("text")).where("text is not null")
-    read = lambda want: in_arrow(_paragraphs(want, min_words, shingle, bands, width), d, _SCHEMAS[want])
+    read = lambda want: in_arrow(_paragraphs(want, min_words, threshold, shingle, bands, width), d, _SCHEMAS[want])
     band = read("bands").dropDuplicates(["same"]).select(F.explode("bands").alias("band"), "same")
     bucket = Window.partitionBy("band")
     shared = band.withColumn("a", F.min("same").over(bucket)).withColumn("b", F.max("same").over(bucket)).where("a <> b").drop("a", "b")

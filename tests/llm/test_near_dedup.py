@@ -113,3 +113,18 @@ def test_paragraphs_of_odd_rows(spark):
     got = sorted((tuple(x) for x in duplicate_paragraphs(df).collect()), key=str)
     assert got == sorted([(1, 2, 30, 1, 2, False), (4, 0, 30, 1, 2, True), (4, 2, 30, 1, 2, True), (None, 0, 30, 1, 2, True)], key=str)
     assert duplicate_paragraphs(df.limit(0)).count() == 0
+
+
+def test_short_paragraphs_against_brute_force(spark):
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    lines = [" ".join(r.choice(words) for _ in range(r.randint(1, 24))) for _ in range(150)]
+    lines += [f"{t} {r.choice(words)}" for t in lines[:50]] + ["Released under the MIT license"]
+    docs = ["\n".join(r.choice(lines) for _ in range(r.randint(1, 6))) for _ in range(60)]
+    paras = [(d, i, t) for d, text in enumerate(docs) for i, t in enumerate(text.split("\n")) if len(t.split()) >= 3]
+    s = [grams(t, 2) for _, _, t in paras]
+    root = groups(len(paras), lambda i, j: jaccard(s[i], s[j]) >= 0.8)
+    want = {(d, i, *paras[root[n]][:2], n != root[n]) for n, (d, i, _) in enumerate(paras) if root.count(root[n]) > 1}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(x.doc_id, x.paragraph, x.cluster_doc, x.cluster_paragraph, x.removed) for x in duplicate_paragraphs(df).collect()}
+    assert want and len(got ^ want) <= 0.03 * len(want)
