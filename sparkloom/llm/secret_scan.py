@@ -21,20 +21,20 @@ from sparkloom.llm._common import fresh, q
 RULES: list[tuple[str, tuple[str, ...], str, float]] = [
     ("private_key", ("PRIVATE KEY",), r"(?P<s>-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s]*))", 0),
     ("cloud_access_key", ("AKIA", "ASIA"), r"(?<![A-Za-z0-9])(?P<s>(?:AKIA|ASIA)[A-Z2-7]{16})(?![A-Za-z0-9])", 2.5),
-    ("forge_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-"), r"(?<![A-Za-z0-9])(?P<s>gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,64})", 2.5),
-    ("chat_token", ("xox",), r"(?P<s>xox[abeoprs]-[A-Za-z0-9-]{10,250})", 2.5),
-    ("api_key", ("sk-", "sk_", "rk_", "pk_", "AIza"), r"(?<![A-Za-z0-9])(?P<s>sk-[A-Za-z0-9_-]{20,200}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,200}|AIza[A-Za-z0-9_-]{35})", 2.5),
+    ("forge_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-"), r"(?<![A-Za-z0-9])(?P<s>gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,})", 2.5),
+    ("chat_token", ("xox",), r"(?P<s>xox[abeoprs]-[A-Za-z0-9-]{10,})", 2.5),
+    ("api_key", ("sk-", "sk_", "rk_", "pk_", "AIza"), r"(?<![A-Za-z0-9])(?P<s>sk-[A-Za-z0-9_-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35,})", 2.5),
     ("signed_web_token", ("eyJ",), r"(?P<s>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 2.5),
-    ("url_password", ("://",), r"[a-z][a-z0-9+.-]{1,30}://[^\s/:@]{1,100}:(?P<s>[^\s/:@]{3,100})@", 0),
+    ("url_password", ("://",), r"[a-z][a-z0-9+.-]{1,30}://[^\s/:@]+:(?P<s>[^\s/:@]{3,})@", 0),
     (
         "assigned_secret",
         ("token", "secret", "passw", "pwd", "key", "auth", "credential"),
-        r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|auth|private|secret|encryption)[_-]?key)[\"']?[ \t]{0,5}(?:=>|:=|=|:)[ \t]{0,5}[\"']?(?P<s>[A-Za-z0-9_/+.=~-]{16,200})",
+        r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|auth|private|secret|encryption)[_-]?key)[\"']?[ \t]{0,5}(?:=>|:=|=|:)[ \t]{0,5}[\"']?(?P<s>[A-Za-z0-9_/+.=~-]{16,})",
         3.0,
     ),
 ]
 #: Raise it when RULES change: pairs of another version count as not scanned.
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 REDACTED = "[SECRET]"
 
 _FINDINGS = "array<struct<rule:string,start:int,end:int,digest:string>>"

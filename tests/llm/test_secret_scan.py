@@ -1,3 +1,7 @@
+import hashlib
+import random
+import string
+
 from sparkloom.llm.secret_scan import RULES, Scanner, findings_by_path, redact_secrets, scan_new
 
 TOKEN = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -54,3 +58,21 @@ def test_redaction(spark):
         if x.doc_id == 6:
             assert x.text.count("[SECRET]") == 2 and TOKEN not in x.text
     assert redact_secrets(df.limit(0)).count() == 0
+
+
+def test_long_secrets_are_found_and_redacted_whole(spark):
+    r = random.Random(6)
+    long = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(5000))
+    # each as (text before the secret, secret, text after it)
+    cases = [
+        ('private_key = "', f"{long}+/==", '"'), ("", f"ghp_{long}", " x"), ("", f"github_pat_{long}", " x"), ("", f"glpat-{long}", " x"), ("", f"xoxb-{long}", " x"),
+        ("", f"sk-{long}", " x"), ("", f"sk_live_{long}", " x"), ("", f"AIza{long}", " x"), ("ftp://bob:", long, "@h/x"), (f"ftp://{'bob' * 50}:", "hunter2", "@h/x"),
+    ]
+    scanner = Scanner(RULES)
+    for before, secret, after in cases:
+        found = scanner.scan(before + secret + after)
+        assert [x[1:] for x in found] == [(len(before), len(before) + len(secret), hashlib.sha256(secret.encode()).hexdigest())], (before, secret[:12])
+    df = spark.createDataFrame([(i, "".join(x)) for i, x in enumerate(cases)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in redact_secrets(df).collect()}
+    assert got == {i: f"{before}[SECRET]{after}" for i, (before, _, after) in enumerate(cases)}
+    assert {x.rule_version for x in scan_new(df).select("rule_version").collect()} != {"1"}
