@@ -414,6 +414,39 @@ def join_full(t: Tables) -> Table:
     return o.join(c, common_column="custkey", type="full")
 
 
+def _all_customers(t: Tables) -> tuple[Table, Table]:
+    """Whole tables; the keys of some rows become ones that the other side lacks."""
+    c = t.customer.select_columns(["c_custkey", "c_mktsegment"]).rename_columns({"c_custkey": "custkey"}).update_column("custkey", "CASE WHEN custkey % 3 = 0 THEN -2 * custkey - 1 ELSE custkey END")
+    return t.orders.select_columns(["o_orderkey", "o_custkey"]).rename_columns({"o_custkey": "custkey"}).update_column("custkey", "CASE WHEN custkey % 5 = 0 THEN -2 * custkey ELSE custkey END"), c
+
+
+_JOIN_ALL = "SELECT o_orderkey, o.custkey AS custkey, c_mktsegment FROM (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN -2 * o_custkey ELSE o_custkey END AS custkey FROM orders) o {} JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -2 * c_custkey - 1 ELSE c_custkey END AS custkey, c_mktsegment FROM customer) c ON o.custkey = c.custkey"
+
+
+@query(_JOIN_ALL.format("INNER"))
+def join_inner_all(t: Tables) -> Table:
+    o, c = _all_customers(t)
+    return o.join(c, type="inner")
+
+
+@query(_JOIN_ALL.format("LEFT"))
+def join_left_all(t: Tables) -> Table:
+    o, c = _all_customers(t)
+    return o.join(c)
+
+
+@query(_JOIN_ALL.format("RIGHT"))
+def join_right_all(t: Tables) -> Table:
+    o, c = _all_customers(t)
+    return o.join(c, type="right")
+
+
+@query(_JOIN_ALL.format("FULL"))
+def join_full_all(t: Tables) -> Table:
+    o, c = _all_customers(t)
+    return o.join(c, common_column="custkey", type="full")
+
+
 @query("SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def join_chain(t: Tables) -> DataFrame:
     o = t.orders.rename_columns({"o_custkey": "c_custkey"}).join(t.customer, type="inner").rename_columns({"c_nationkey": "n_nationkey"}).join(t.nation, type="inner")
