@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.exprs import INTEGERS, col, divide, listed, rounded
 from sparkloom.operators.columns import need
-from sparkloom.operators.order import ORD, by, framed, last_known, ordered, row_number, running_sum
+from sparkloom.operators.order import ORD, by, framed, last_known, ordered, row_number, running_sum, settled
+from sparkloom.storage import stored
 
 
 def _partition(cats: str | list[str] | None):
@@ -100,7 +101,7 @@ def fill(df: DataFrame, columns: str | list[str], categories: str | list[str] |
 
 def interpolate(df: DataFrame, columns: str | list[str], categories: str | list[str] | None = None, along: str | None = None) -> DataFrame:
     """Nulls between and beyond known values lie on the line through the two nearest known ones, over the row number or the column ``along``; a column of integers is cut to integers."""
-    df = ordered(df)
+    df = settled(ordered(df))
     names = df.columns
     for c in listed(columns):
         need(df, [c])
@@ -115,6 +116,7 @@ def interpolate(df: DataFrame, columns: str | list[str], categories: str | list[
                 d = d.withColumn(ORD, F.row_number().over(_partition(categories).orderBy("__x", ORD)).cast("bigint"))
             else:
                 d = d.orderBy("__x", ORD).withColumn(ORD, F.monotonically_increasing_id())
+        d = settled(d)
         here = F.when(col(c).isNotNull(), F.struct(F.col("__x").alias("x"), col(c).cast("double").alias("y")))
         d = d.withColumn("__h", here)
         d = last_known(d, "__h", "__a", categories)
@@ -172,14 +174,16 @@ def normalize(df: DataFrame, column: str, new: str, categories: str | list[str]
 def exact_quantiles(df: DataFrame, column: str, shares: list[float], discrete: bool = False) -> list[float | None]:
     """Exact quantiles of a whole column: values are counted, sorted by range and counted up run by run, so no task holds them all; only the values at the wanted places come back."""
     counts = df.where(col(column).isNotNull()).groupBy(col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    n = counts.agg(F.sum("c")).first()[0]
+    # the distinct values, sorted and numbered once; the rest reads them
+    placed = stored(counts.orderBy("v").withColumn(ORD, F.monotonically_increasing_id()))
+    n = placed.agg(F.sum("c")).first()[0]
     if not n:
         return [None] * len(shares)
     places: set[int] = set()
     for q in shares:
         at = max(0, math.ceil(q * n) - 1) if discrete else (n - 1) * q
         places |= {math.floor(at), math.ceil(at)}
-    upto = running_sum(counts.orderBy("v").withColumn(ORD, F.monotonically_increasing_id()), "c", "s")
+    upto = running_sum(placed, "c", "s")
     hit = F.exists(F.array(*[F.lit(p) for p in sorted(places)]), lambda p: (p < F.col("s")) & (p >= F.col("s") - F.col("c")))
     rows = upto.where(hit).select("v", "s", "c").collect()
     value = {p: next(r.v for r in rows if r.s - r.c <= p < r.s) for p in places}

@@ -17,6 +17,7 @@ from sparkloom.functions.exprs import col
 from sparkloom.functions.similarity import METHODS
 from sparkloom.operators.columns import need
 from sparkloom.operators.order import ORD, ordered
+from sparkloom.storage import stored
 
 
 def score(a: Column, b: Column, method: str) -> Column:
@@ -120,18 +121,9 @@ def _clusters(edges: DataFrame) -> DataFrame:
         near = both.join(label, "v").groupBy("u").agg(F.min("root").alias("m"))
         step = label.join(near, label["v"] == near["u"], "left").select("v", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = step.alias("x").join(step.alias("y"), F.col("x.root") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.least(F.col("x.root"), F.coalesce(F.col("y.root"), F.col("x.root"))).alias("root"))
-        jump = _cut(jump)
+        jump = stored(jump)
         changed = jump.join(label.withColumnRenamed("root", "old"), "v").where("root <> old").limit(1).count()
         label.unpersist()
         label = jump
         if not changed:
             return label
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-"))
-    return df.checkpoint()

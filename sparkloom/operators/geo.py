@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import geometry as G
 from sparkloom.functions.exprs import col, listed, rounded
-from sparkloom.operators.order import ORD, ordered, visible
+from sparkloom.operators.order import ORD, ordered, settled, visible
 
 
 def udf(f: Callable, kind: str, *columns: Column) -> Column:
@@ -295,10 +295,13 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     if method == "within" and reach is None:
         raise ValueError("within needs a distance")
     grow = 0.0 if method != "within" else float(reach)  # type: ignore[arg-type]
-    l = ordered(left).withColumn("__box", _box(col(lc)))
-    r = right.drop(ORD).withColumn("__rbox", _box(col(rc)))
+    # both sides are read twice, and matched by their numbers
+    left = settled(ordered(left))
+    l = left.withColumn("__box", _box(col(lc)))
+    r = right.drop(ORD)
     if how in ("right", "full"):
-        r = r.withColumn("__rid", F.monotonically_increasing_id())
+        r = settled(r.withColumn("__rid", F.monotonically_increasing_id()))
+    r = r.withColumn("__rbox", _box(col(rc)))
     if grow and measure == "srs":
         l = l.withColumn("__box", F.array(*[F.col("__box")[i] + (grow if i > 1 else -grow) for i in range(4)]))
     elif grow:
@@ -330,7 +333,7 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     else:
         test = G.intersects if method == "intersect" else (lambda x, y: G.covers(y, x))
     pairs = cand.where(udf(of(test), "boolean", F.col("__a"), col(rc))).drop("__a", "__box", "__l", "__level", "__x", "__y", "__rbox", "__rl").withColumnRenamed(ORD, "__of")
-    out = ordered(left)
+    out = left
     matched = out.join(pairs.drop("__rid"), out[ORD] == F.col("__of"), "left" if how in ("left", "full") else "inner").drop("__of")
     if how in ("left", "inner"):
         return matched

@@ -1,20 +1,28 @@
 """Row order. A table's rows carry a hidden increasing number; operators that need order use it, others never sort.
 
 The number's upper bits name a *run* of consecutive rows (a partition at the time of numbering), so running totals and row numbers over a whole table are
-computed run by run in parallel, with one small table of offsets, instead of in one task.
+computed run by run in parallel, with one small table of offsets, instead of in one task. Rows and offsets are two readings of one plan, so the plan must
+number its rows alike each time. One that only reads files and works row by row does; one with a sort or another shuffle does not (its partitions follow
+sampled bounds and sizes at run time), so ``settled`` stores its rows first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from sparkloom.functions.exprs import col, listed
+from sparkloom.storage import stored
 
 ORD = "__ord"
 _RUN = "__run"
 
+#: Plans of these nodes alone give the same rows in the same partitions whenever they run.
+_ROW_BY_ROW = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View", "Union", "Generate", "OneRowRelation", "Range"}
+
 
 def ordered(df: DataFrame) -> DataFrame:
     """With the order of the rows as they are read."""
@@ -26,6 +34,18 @@ def renumbered(df: DataFrame) -> DataFrame:
     return df.drop(ORD).withColumn(ORD, F.monotonically_increasing_id())
 
 
+def _row_by_row(plan) -> bool:
+    if plan.nodeName().split(" ")[0] not in _ROW_BY_ROW:
+        return False
+    kids = plan.children()
+    return all(_row_by_row(kids.apply(i)) for i in range(kids.size()))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Rows that can be read twice: as they are where the plan gives the same numbers each time, else stored in the shared folder (this runs the plan)."""
+    return df if _row_by_row(df._jdf.queryExecution().analyzed()) else stored(df)
+
+
 def visible(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ORD]
 
@@ -38,20 +58,30 @@ def by(cats: str | list[str] | None) -> WindowSpec:
     return Window.partitionBy(*[col(c) for c in listed(cats)]).orderBy(ORD)
 
 
-def _runs(df: DataFrame) -> DataFrame:
-    return df.withColumn(_RUN, F.shiftright(ORD, 33))
+def _by_run(df: DataFrame, total: Column, before: Callable[[WindowSpec], Column], make: Callable[[DataFrame], DataFrame], back: bool = False) -> DataFrame:
+    """``df`` with ``make``'s columns and ``__before``: ``before``, over the ``total`` of each run as ``__t``, of the runs before the row's own.
+
+    ``df`` is settled by the caller. The table of totals has a row for each run, that is for each partition. The rows lie by run already when they meet
+    it, so the join moves nothing but the totals.
+    """
+    runs = df.withColumn(_RUN, F.shiftright(ORD, 33))
+    totals = runs.groupBy(_RUN).agg(total.alias("__t"))
+    earlier = Window.orderBy(F.desc(_RUN) if back else F.asc(_RUN)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_RUN, F.struct(before(earlier).alias("v")).alias("__o"))
+    out = make(runs).join(offsets, _RUN, "left")
+    # a run without a total would mean that the two readings differ
+    whole = F.when(F.col("__o").isNull(), F.raise_error(F.lit("the order of the rows changed while they were numbered")).cast("boolean")).otherwise(F.lit(True))
+    return out.where(whole).withColumn("__before", F.col("__o.v")).drop("__o", _RUN)
 
 
 def row_number(df: DataFrame, name: str, cats: str | list[str] | None = None) -> DataFrame:
     """Numbers from 0, in table order, within categories if given."""
     if listed(cats):
         return df.withColumn(name, F.row_number().over(by(cats)).cast("bigint") - 1)
-    runs = _runs(df)
-    sizes = runs.groupBy(_RUN).agg(F.count(F.lit(1)).alias("__n"))
-    # one row a run: small enough for one task
-    before = sizes.select(_RUN, (F.coalesce(F.sum("__n").over(Window.orderBy(_RUN).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
+    names = [c for c in df.columns if c != name]
     inside = F.row_number().over(Window.partitionBy(_RUN).orderBy(ORD)).cast("bigint") - 1
-    return runs.withColumn(name, inside).join(before, _RUN).withColumn(name, col(name) + F.col("__before")).drop("__before", _RUN).select(*[col(c) for c in df.columns if c != name], col(name))
+    out = _by_run(settled(df), F.count(F.lit(1)), lambda w: F.sum("__t").over(w), lambda d: d.withColumn("__in", inside))
+    return out.select(*[col(c) for c in names], (F.col("__in") + F.coalesce(F.col("__before"), F.lit(0))).alias(name))
 
 
 def running_sum(df: DataFrame, value: str, name: str, cats: str | list[str] | None = None) -> DataFrame:
@@ -59,26 +89,27 @@ def running_sum(df: DataFrame, value: str, name: str, cats: str | list[str] | No
     upto = (Window.unboundedPreceding, Window.currentRow)
     if listed(cats):
         return df.withColumn(name, F.sum(col(value)).over(by(cats).rowsBetween(*upto)))
-    runs = _runs(df)
-    totals = runs.groupBy(_RUN).agg(F.sum(col(value)).alias("__t"))
-    before = totals.select(_RUN, F.sum("__t").over(Window.orderBy(_RUN).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    names = [c for c in df.columns if c != name]
     inside = F.sum(col(value)).over(Window.partitionBy(_RUN).orderBy(ORD).rowsBetween(*upto))
+    out = _by_run(settled(df), F.sum(col(value)), lambda w: F.sum("__t").over(w), lambda d: d.withColumn("__in", inside))
     total = F.when(F.col("__in").isNull(), F.col("__before")).otherwise(F.col("__in") + F.coalesce(F.col("__before"), F.lit(0)))
-    return runs.withColumn("__in", inside).join(before, _RUN).withColumn(name, total).drop("__before", "__in", _RUN)
+    return out.select(*[col(c) for c in names], total.alias(name))
 
 
 def last_known(df: DataFrame, value: str | Column, name: str, cats: str | list[str] | None = None, back: bool = False) -> DataFrame:
     """The last value that is not null up to each row (``back``: the first from each row on)."""
     x = col(value) if isinstance(value, str) else value
-    order, run_order = (F.desc(ORD), F.desc(_RUN)) if back else (F.asc(ORD), F.asc(_RUN))
+    order = F.desc(ORD) if back else F.asc(ORD)
+    upto = (Window.unboundedPreceding, Window.currentRow)
     if listed(cats):
-        w = Window.partitionBy(*[col(c) for c in listed(cats)]).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy(*[col(c) for c in listed(cats)]).orderBy(order).rowsBetween(*upto)
         return df.withColumn(name, F.last(x, ignorenulls=True).over(w))
-    runs = _runs(df).withColumn("__val", x)
-    ends = runs.groupBy(_RUN).agg((F.min_by if back else F.max_by)("__val", F.when(F.col("__val").isNotNull(), F.col(ORD))).alias("__e"))
-    before = ends.select(_RUN, F.last("__e", ignorenulls=True).over(Window.orderBy(run_order).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    inside = F.last("__val", ignorenulls=True).over(Window.partitionBy(_RUN).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return runs.withColumn("__in", inside).join(before, _RUN).withColumn(name, F.coalesce("__in", "__before")).drop("__val", "__in", "__before", _RUN)
+    names = [c for c in df.columns if c != name]
+    d = settled(df).withColumn("__val", x)
+    end = (F.min_by if back else F.max_by)("__val", F.when(F.col("__val").isNotNull(), F.col(ORD)))
+    inside = F.last("__val", ignorenulls=True).over(Window.partitionBy(_RUN).orderBy(order).rowsBetween(*upto))
+    out = _by_run(d, end, lambda w: F.last("__t", ignorenulls=True).over(w), lambda d: d.withColumn("__in", inside), back)
+    return out.select(*[col(c) for c in names], F.coalesce("__in", "__before").alias(name))
 
 
 def framed(df: DataFrame, preceding: int, following: int, cats: str | list[str] | None, make) -> DataFrame:
