@@ -44,7 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
         df = df.select(*[df[f"`{f.name}`"].cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else df[f"`{f.name}`"] for f in df.schema])
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.loom_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table that ``stored`` wrote for this DataFrame, which nothing reads any more."""
+    path = getattr(df, "loom_path", None)
+    for entry in [x for x in _written if x[1] == path]:
+        remove(*entry)
+        _written.remove(entry)
 
 
 def clear(spark: SparkSession | None = None) -> None:
