@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.storage import stored
+
 #: Bytes of text worked on at a time; a longer single text is worked on whole.
 CHUNK_BYTES = 2 << 20
 
@@ -43,16 +44,16 @@ def q(name: str) -> Column:
 
 
 def row_key(*cols: str) -> Column:
-    """A 64-bit identity of a row. Rows alike in ``cols`` count as one document; a null differs from an empty text."""
+    """A 64-bit hash of a row; a null differs from an empty text. Rows alike in ``cols`` count as one document.
+
+    By itself it can't tell apart the documents of a very large corpus (among 3e10 some two dozen pairs collide), so it goes with the id wherever documents are matched or dropped.
+    """
     return F.xxhash64(*[q(c) for c in cols], *[q(c).isNull() for c in cols])
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share (spark.checkpoint.dir); own folder only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: the rows as a table in the folder that all executors share (spark.checkpoint.dir), removed at the end of the process."""
+    return stored(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 
 from sparkloom.llm._common import grams, mix, row_of
 
@@ -110,9 +109,3 @@ def bucket_edges(n_groups_start: np.ndarray, n: int, close: Callable[[int, np.nd
                 yield np.full(int(near.sum()), at), rest[near]
                 queue.extend(rest[near])
                 rest = rest[~near]
-
-
-def edge_batch(keys: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    u = keys[np.concatenate([e[0] for e in edges])] if edges else np.empty(0, np.int64)
-    v = keys[np.concatenate([e[1] for e in edges])] if edges else np.empty(0, np.int64)
-    return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

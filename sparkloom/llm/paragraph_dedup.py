@@ -1,8 +1,10 @@
-"""Near-duplicate paragraphs by MinHash banding, exact verification and connected components.
+"""Duplicate paragraphs by MinHash banding, exact verification and connected components.
 
-A paragraph is a line. Bands are tuned for recall (8 bands of 3 minima meet a pair of Jaccard 0.8 with probability 0.997); pairs that share a band
-are verified by the exact Jaccard similarity of their shingle sets, so chance collisions do no harm. A set so small that one more shingle is too much is near
-its equals only; its one band is the whole set, so that short paragraphs with a common phrase don't crowd a bucket.
+Paragraphs are of two kinds. A *line* has near copies: bands are tuned for recall (8 bands of 3 minima meet a pair of Jaccard 0.8 with probability 0.997), and rows that
+share a band are verified by the exact Jaccard similarity of their shingle sets, so chance collisions do no harm. A set so small that one more
+shingle is too much is near its equals only; its one band is the whole set. A *piece* is what a passage inside a long line, or one across many short lines, is found by:
+the words of a whole text are cut, without regard to lines, before each word whose two-word hash is the least of ``REACH`` words on both sides, so
+equal passages are cut alike wherever they stand. Pieces have some 11 words; at that size one changed word is too much, so a piece's copies are equal in all words.
 """
 
 from __future__ import annotations
@@ -11,19 +13,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import WORD_BYTE, grouped, hash_words, in_arrow, mix, q, row_key, split_words, text_chunks
+from sparkloom.llm._buckets import BLOCK, links
+from sparkloom.llm._common import WORD_BYTE, durable, grams, hash_words, in_arrow, mix, q, row_key, row_of, split_words, text_chunks, window_extreme
 from sparkloom.llm._graph import components
-from sparkloom.llm._minhash import Hasher, band_hashes, bucket_edges, edge_batch, shingles
+from sparkloom.llm._minhash import Hasher, band_hashes, shingles
 
-#: Paragraphs of fewer words, which have one shingle at most, are left alone.
+#: Lines of fewer words have one shingle at most; their words take part in pieces.
 MIN_WORDS = 3
-#: Least exact Jaccard similarity of shingle sets.
+#: Least exact Jaccard similarity of two lines' shingle sets.
 THRESHOLD = 0.8
 SHINGLE = 2
 BANDS, WIDTH = 8, 3
+#: A piece begins at the least hash of so many words before and after.
+REACH = 5
+#: Shorter pieces are phrases that texts may share by chance.
+PIECE_WORDS = 8
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,21 +42,60 @@ def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.append(starts, len(buf)), row, np.arange(len(starts)) - np.searchsorted(starts, offs[row])
 
 
-#: Columns of each pass over the texts: signatures, lines and places are never shuffled together.
-_SCHEMAS = {"bands": "same long, bands array<long>", "lines": "same long, line binary", "places": "same long, key long, doc_id long, paragraph int, n_words int"}
+def cuts(h: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
+    """First words of the pieces of all rows, from the words' hashes and the first word of each row (one more at the end)."""
+    n = len(h)
+    if not n:
+        return np.empty(0, np.int64)
+    row = row_of(first)
+    high = np.uint64(0xFFFFFFFFFFFFFFFF)
+    g = np.full(n, high)
+    two = grams(h, 2)
+    inside = row[1:] == row[:-1]
+    g[:-1][inside] = two[inside] >> np.uint64(1)
+    # rows lie apart by ``reach`` words, so that none sees its neighbour's
+    at = np.arange(n) + reach * (row + 1)
+    wide = np.full(at[-1] + 1 + reach, high)
+    wide[at] = g
+    before = window_extreme(wide, reach, np.minimum)[at - reach]
+    after = window_extreme(np.append(wide, np.full(1, high)), reach, np.minimum)[at + 1]
+    least = (g < before) & (g <= after) & (g < high)
+    least[first[:-1][np.diff(first) > 0]] = True
+    return np.flatnonzero(least)
 
 
 def _whole_sets(hs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of distinct shingles of each row that has some, and a hash of all of them."""
-    o = np.lexsort((hs, of))
-    hs, of = hs[o], of[o]
-    once = np.append(True, (hs[1:] != hs[:-1]) | (of[1:] != of[:-1]))
-    hs, of = hs[once], of[once]
+    hs, of = _sets(hs, of)
     at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     return np.diff(np.append(at, len(of))), mix(np.add.reduceat(mix(hs), at)).view(np.int64)
 
 
-def _paragraphs(want: str, min_words: int, threshold: float, shingle: int, bands: int, width: int):
+def _sets(hs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    o = np.lexsort((hs, of))
+    hs, of = hs[o], of[o]
+    once = np.append(True, (hs[1:] != hs[:-1]) | (of[1:] != of[:-1])) if len(hs) else np.empty(0, bool)
+    return hs[once], of[once]
+
+
+def _names(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words of each span, in their order, as two numbers."""
+    size = hi - lo
+    pos = (np.arange(len(h)) - np.repeat(lo, size)).astype(np.uint64) if size.sum() == len(h) else None
+    if pos is None:
+        raise ValueError("spans must cover all words")
+    out = []
+    for salt in (0x1B873593, 0x2545F4914F6CDD1D):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix((h + np.uint64(salt)) ^ mix(pos + np.uint64(salt))), dtype=np.uint64)])
+        out.append(mix(total[hi] - total[lo]).view(np.int64))
+    return out[0], out[1]
+
+
+#: One row a paragraph; ``bands`` of lines only.
+_UNITS = "line boolean, s1 long, s2 long, key long, doc_id long, paragraph int, start_word int, n_words int, bands array<long>"
+
+
+def _units(min_words: int, threshold: float, shingle: int, bands: int, width: int, reach: int, piece_words: int):
     hasher = Hasher(bands * width, seed=11)
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
@@ -58,88 +104,129 @@ def _paragraphs(want: str, min_words: int, threshold: float, shingle: int, bands
             line, row, idx = _lines(buf, offs)
             st, en, first, m = split_words(buf, line, WORD_BYTE)
             h = hash_words(buf, st, en, m)
-            rows = np.flatnonzero(np.diff(first) >= max(1, min_words))
-            if not len(rows):
+            if not len(h):
                 continue
-            # all words in their order, as one hash: equal paragraphs are collapsed by it
-            pos = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-            summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(pos.astype(np.uint64))), dtype=np.uint64)])
-            same = mix(summed[first[1:]] - summed[first[:-1]])[rows].view(np.int64)
-            if want == "places":
-                yield {"same": same, "key": key[lo + row[rows]], "doc_id": doc_id.take(pa.array(lo + row[rows])), "paragraph": idx[rows].astype(np.int32), "n_words": np.diff(first)[rows].astype(np.int32)}
-                continue
-            same, once = np.unique(same, return_index=True)
-            rows = rows[once]
-            if want == "lines":
-                raw = buf.tobytes()
-                yield {"same": same, "line": [raw[x:y] for x, y in zip(line[rows].tolist(), line[rows + 1].tolist(), strict=True)]}
-                continue
-            pick = np.zeros(len(first) - 1, bool)
-            pick[rows] = True
+            size = np.diff(first)
+            s1, s2 = _names(h, first[:-1], first[1:])
+            base = first[np.searchsorted(row, np.arange(len(offs)))]  # the first word of each row
+            rows = np.flatnonzero(size >= max(1, min_words))
             hs, of = shingles(h, first, shingle)
+            pick = np.zeros(len(size), bool)
+            pick[rows] = True
             hs, of = hs[pick[of]], of[pick[of]]
-            size, whole = _whole_sets(hs, of)
-            of, minima = hasher.minima(hs, of)
-            band = band_hashes(minima, bands, width)
-            few = size < threshold * (size + 1)
-            band[few, 0] = whole[few]
-            at = np.searchsorted(of, rows)
-            keep = (~few[at])[:, None] | (np.arange(bands) == 0)
-            ends = np.append(0, np.cumsum(keep.sum(axis=1))).astype(np.int32)
-            yield {"same": same, "bands": pa.ListArray.from_arrays(ends, pa.array(band[at][keep]))}
+            ends, band = np.zeros(1, np.int32), np.empty(0, np.int64)
+            if len(rows):
+                n, whole = _whole_sets(hs, of)
+                of, minima = hasher.minima(hs, of)
+                band = band_hashes(minima, bands, width)
+                few = n < threshold * (n + 1)
+                band[few, 0] = whole[few]
+                keep = (~few)[:, None] | (np.arange(bands) == 0)
+                ends = np.append(0, np.cumsum(keep.sum(axis=1))).astype(np.int32)
+                band = band[keep]
+                yield {
+                    "line": np.ones(len(rows), bool), "s1": s1[rows], "s2": s2[rows], "key": key[lo + row[rows]], "doc_id": doc_id.take(pa.array(lo + row[rows])), "paragraph": idx[rows].astype(np.int32),
+                    "start_word": (first[:-1][rows] - base[row[rows]]).astype(np.int32), "n_words": size[rows].astype(np.int32), "bands": pa.ListArray.from_arrays(ends, pa.array(band)),
+                }
+            begin = cuts(h, base, reach)
+            end = np.append(begin[1:], len(h))
+            s1, s2 = _names(h, begin, end)
+            row = row_of(base)[begin]
+            nth = np.arange(len(begin)) - np.searchsorted(begin, base[row])
+            p = np.flatnonzero(end - begin >= piece_words)
+            yield {
+                "line": np.zeros(len(p), bool), "s1": s1[p], "s2": s2[p], "key": key[lo + row[p]], "doc_id": doc_id.take(pa.array(lo + row[p])), "paragraph": nth[p].astype(np.int32),
+                "start_word": (begin - base[row])[p].astype(np.int32), "n_words": (end - begin)[p].astype(np.int32), "bands": pa.nulls(len(p), pa.list_(pa.int64())),
+            }
 
     return run
 
 
-def _verify(threshold: float, shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "band", 1 << 13):
-            band, same = t.column("band").to_numpy(), t.column("same").to_numpy()
-            sets: list[np.ndarray] = []
-            for _, _, buf, offs in text_chunks(t.column("line").combine_chunks().cast(pa.string())):
-                st, en, first, m = split_words(buf, offs, WORD_BYTE)
-                hs, rows = shingles(hash_words(buf, st, en, m), first, shingle)
-                cuts = np.searchsorted(rows, np.arange(len(offs)))
-                sets += [np.unique(hs[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-            def jaccard(i: int, j: int, sets: list = sets) -> float:
-                a, b = sets[i], sets[j]
-                if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-                    return 0.0
-                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                return both / (len(a) + len(b) - both)
-
-            start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-            owner = np.repeat(start, np.diff(np.append(start, t.num_rows)))
-            near = np.array([i == j or jaccard(i, j) >= threshold for i, j in enumerate(owner.tolist())])
-            yield edge_batch(same, list(bucket_edges(start, t.num_rows, lambda i, rest, f=jaccard: np.array([f(i, j) >= threshold for j in rest.tolist()]), near)))
+def _shingle_sets(min_words: int, shingle: int):
+    """The shingle set of each line whose words are wanted, as sorted hashes."""
+
+    def run(b: pa.RecordBatch) -> Iterator[dict]:
+        want = b.column("want")
+        flat = want.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(np.diff(want.offsets.to_numpy()))])
+        for lo, hi, buf, offs in text_chunks(b.column("text"), lower=True):
+            line, row, _ = _lines(buf, offs)
+            st, en, first, m = split_words(buf, line, WORD_BYTE)
+            h = hash_words(buf, st, en, m)
+            if not len(h):
+                continue
+            start = np.searchsorted(row, np.arange(hi - lo))
+            pick = start[np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))] + flat[at[lo] : at[hi]]
+            chosen = np.zeros(len(line) - 1, bool)
+            chosen[pick] = True
+            s1, s2 = _names(h, first[:-1], first[1:])
+            hs, of = shingles(h, first, shingle)
+            hs, of = _sets(hs[chosen[of]], of[chosen[of]])
+            edge = np.searchsorted(of, np.append(np.flatnonzero(chosen), len(chosen)))
+            raw = hs.tobytes()
+            yield {"s1": s1[chosen], "s2": s2[chosen], "payload": [raw[8 * x : 8 * y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]}
 
     return run
 
 
-def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, n_words, cluster_doc, cluster_paragraph, removed) for each paragraph that has a near copy.
+def _close(threshold: float):
+    def of(payloads: list[bytes]):
+        sets = [np.frombuffer(p, np.uint64) for p in payloads]
+        sizes = np.array([len(s) for s in sets])
+
+        def close(i: int, rows: np.ndarray) -> np.ndarray:
+            a, n = sets[i], sizes[i]
+            out = np.zeros(len(rows), bool)
+            can = np.flatnonzero(np.minimum(sizes[rows], n) >= threshold * np.maximum(sizes[rows], n))
+            if not len(can):
+                return out
+            many = sizes[rows[can]]
+            both = np.concatenate([sets[j] for j in rows[can].tolist()])
+            at = np.minimum(np.searchsorted(a, both), max(n - 1, 0))
+            hit = np.add.reduceat((a[at] == both).astype(np.int64), np.cumsum(many) - many)
+            out[can] = hit >= threshold * (n + many - hit) - 1e-9
+            return out
+
+        return close
+
+    return of
+
+
+def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, reach: int = REACH, piece_words: int = PIECE_WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, kind, paragraph, start_word, n_words, cluster_doc, cluster_paragraph, removed) for each paragraph that has a copy.
+
+    ``kind`` is ``line`` or ``piece``; ``paragraph`` counts the lines, or the pieces, of the text from 0, and ``start_word`` its words. A cluster is a connected component of
+    pairs of lines of at least ``threshold``, or all equal pieces; its first paragraph, by doc_id (nulls last) and place, names it and stays, the others are ``removed``. Words are
+    runs of letters, digits and underscores without regard to case.
 
-    ``paragraph`` counts the lines of the text from 0. A cluster is a connected component of pairs of at least ``threshold``; its first paragraph, by doc_id (nulls
-    last) and place, names it and stays, the others are ``removed``. Words are runs of letters, digits and underscores without regard to case.
+    Lines of fewer than ``min_words`` words are left alone as lines, but their words are part of pieces like all others. Pieces of fewer than ``piece_words`` words are left alone.
 
-    Null and empty texts have no paragraphs; paragraphs of fewer than ``min_words`` words are left alone. Copies within one document count. Rows alike in
-    doc_id and text are one document. An empty table gives an empty result; other columns are not read.
+    Null and empty texts have no paragraphs. Copies within one document count. Rows alike in doc_id and text are one document. Texts are read whole, however long.
+    An empty table gives an empty result; other columns are not read.
     """
     d = docs.select(row_key(id_col, text_col).alias("key"), q(id_col).cast("long").alias("doc_id"), q(text_col).alias("text")).where("text is not null")
-    read = lambda want: in_arrow(_paragraphs(want, min_words, threshold, shingle, bands, width), d, _SCHEMAS[want])
-    band = read("bands").dropDuplicates(["same"]).select(F.explode("bands").alias("band"), "same")
-    bucket = Window.partitionBy("band")
-    shared = band.withColumn("a", F.min("same").over(bucket)).withColumn("b", F.max("same").over(bucket)).where("a <> b").drop("a", "b")
-    met = shared.groupBy("same").agg(F.collect_set("band").alias("bands"))
-    lines = read("lines").join(met.hint("merge"), "same").dropDuplicates(["same"])
-    meet = lines.select(F.explode("bands").alias("band"), "same", "line").repartition("band").sortWithinPartitions("band", "same")
-    edges = meet.mapInArrow(_verify(threshold, shingle), "u long, v long").where("u <> v")
-    roots = components(edges).withColumnRenamed("node", "same")
-    places = read("places").distinct()
-    joined = places.join(roots, "same", "left").withColumn("cluster", F.coalesce("root", "same"))
-    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "paragraph")
-    by = Window.partitionBy("cluster")
-    out = joined.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("best", F.min(order).over(by)).where("n > 1")
-    removed = ~((F.col("key") == F.col("best.key")) & (F.col("paragraph") == F.col("best.paragraph")))
-    return out.select("doc_id", "paragraph", "n_words", F.col("best.doc_id").alias("cluster_doc"), F.col("best.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
+    # one pass over the texts; all that follows reads this table, which has no texts
+    units = durable(in_arrow(_units(min_words, threshold, shingle, bands, width, reach, piece_words), d, _UNITS))
+    lines = units.where("line")
+    band = lines.select(F.explode("bands").alias("band"), "s1", "s2")
+    # the halves of a name serve to see whether a bucket has two different lines, and which texts to read
+    shared = band.groupBy("band").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("band")
+    met = durable(band.join(shared, "band").select("band", F.struct("s1", "s2").alias("node")).distinct())
+    wanted = lines.join(met.select("node.s1", "node.s2").distinct(), ["s1", "s2"], "left_semi")
+    # of equal lines one is read
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "paragraph")
+    chosen = wanted.groupBy("s1", "s2").agg(F.min(place).alias("p")).groupBy("p.key", "p.doc_id").agg(F.collect_list("p.paragraph").alias("want"))
+    chosen = chosen.select(F.col("key").alias("k"), F.col("doc_id").alias("i"), "want")
+    texts = d.join(chosen.hint("merge"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("text", "want")
+    payloads = in_arrow(_shingle_sets(min_words, shingle), texts, "s1 long, s2 long, payload binary")
+    payloads = durable(payloads.select(F.struct("s1", "s2").alias("node"), "payload").dropDuplicates(["node"]))
+    roots = durable(components(links(met, payloads, _close(threshold), "struct<s1:bigint,s2:bigint>", block)))
+    # what may have a copy: names seen at two places, and lines that are near another
+    twice = units.groupBy("line", "s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "s1")
+    twice = twice.unionByName(roots.select(F.lit(True).alias("line"), F.col("node.s1").alias("s1"))).distinct()
+    places = durable(units.drop("bands").join(twice, ["line", "s1"], "left_semi").distinct())
+    named = places.withColumn("node", F.struct("s1", "s2")).join(roots.withColumn("line", F.lit(True)), ["line", "node"], "left").withColumn("cluster", F.coalesce("root", "node"))
+    best = named.groupBy("line", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("best")).where("n > 1").drop("n")
+    removed = ~((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("paragraph") == F.col("best.paragraph")))
+    kind = F.when(F.col("line"), "line").otherwise("piece")
+    return named.join(best, ["line", "cluster"]).select("doc_id", kind.alias("kind"), "paragraph", "start_word", "n_words", F.col("best.doc_id").alias("cluster_doc"), F.col("best.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
