@@ -1,167 +1,268 @@
 """Benchmark decontamination by a generalised suffix automaton (Blumer et al., 1985) of the test items' words.
 
-The automaton is built once on the driver from the benchmark, which is a small table whose size is checked, and broadcast. Training texts stream
-through it: at each word it gives the length of the longest passage ending there that occurs in some item. Only runs of words that all occur in the
-benchmark can hold a match, so only runs of at least the shortest length that counts are fed to it; the others cannot matter.
+The automaton is built on the driver from the benchmark, flattened into sorted arrays and handed to the executors as a file that the workers of a machine map into
+memory together. Training texts stream through it side by side: at each word it gives the longest passage ending there that occurs in some item, and
+by its suffix links the longest such passage that exceeds a limit. Only runs of words that all occur in the benchmark can hold a match, so only they are fed to it.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sparkloom.llm._common import WORD_BYTE, hash_words, in_arrow, q, row_of, split_words, text_chunks
+from sparkloom.storage import new_path
 
 #: A match of so many words is contamination, whatever share of an item it is.
 MAX_WORDS = 13
 #: A match that covers such a share of an item is contamination, if it has MIN_WORDS.
 MAX_COVERAGE = 0.6
 MIN_WORDS = 8
-#: The automaton lives in the memory of each Python worker: words of all items together.
-MAX_BENCHMARK_WORDS = 20_000_000
+#: Words of one automaton; a larger benchmark has several, which texts go through one after another. Building one takes about 1 kB a word on the driver.
+SHARD_WORDS = 1_000_000
 
 
 class Automaton:
-    """Generalised suffix automaton over words given as 64-bit hashes."""
+    """Generalised suffix automaton over words given as 64-bit hashes, as flat arrays.
+
+    ``keys`` holds state * words + word of all transitions in order, ``to`` their states. Of a state: its suffix ``link``, the ``length`` of its longest passage, the
+    ``size`` in words and the id of the shortest ``item`` that has its passages.
+    """
+
+    ARRAYS = ("vocabulary", "keys", "to", "link", "length", "size", "item")
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for _, h in items]]))
-        nxt: list[dict[int, int]] = [{}]
+        wide = max(len(self.vocabulary), 1)
+        nxt: dict[int, int] = {}
+        out: list[list[int]] = [[]]  # the words that lead on from each state
         link, length, size, item = [-1], [0], [0], [-1]
 
         def new(n: int) -> int:
-            nxt.append({})
+            out.append([])
             link.append(0)
             length.append(n)
             size.append(0)
             item.append(-1)
-            return len(nxt) - 1
+            return len(out) - 1
+
+        def clone(p: int, to: int, c: int) -> int:
+            copy = new(length[p] + 1)
+            out[copy] = out[to][:]
+            for w in out[to]:
+                nxt[copy * wide + w] = nxt[to * wide + w]
+            link[copy] = link[to]
+            link[to] = copy
+            while p >= 0 and nxt.get(p * wide + c) == to:
+                nxt[p * wide + c] = copy
+                p = link[p]
+            return copy
 
         for ident, h in items:
             words = np.searchsorted(self.vocabulary, h).tolist()
             last = 0
             for c in words:
-                if c in nxt[last]:
-                    p, to = last, nxt[last][c]
-                    if length[to] == length[p] + 1:
-                        last = to
-                    else:
-                        last = self._clone(nxt, link, length, new, p, to, c)
+                to = nxt.get(last * wide + c)
+                if to is not None:
+                    last = to if length[to] == length[last] + 1 else clone(last, to, c)
                 else:
                     cur = new(length[last] + 1)
                     p = last
-                    while p >= 0 and c not in nxt[p]:
-                        nxt[p][c] = cur
+                    while p >= 0 and p * wide + c not in nxt:
+                        nxt[p * wide + c] = cur
+                        out[p].append(c)
                         p = link[p]
                     if p >= 0:
-                        to = nxt[p][c]
-                        link[cur] = to if length[to] == length[p] + 1 else self._clone(nxt, link, length, new, p, to, c)
+                        to = nxt[p * wide + c]
+                        link[cur] = to if length[to] == length[p] + 1 else clone(p, to, c)
                     last = cur
-                # the shortest item of those in which a state's passages occur
                 if size[last] == 0 or (len(words), ident) < (size[last], item[last]):
                     size[last], item[last] = len(words), ident
         # an item that ends in a state holds the state's suffixes too
-        for s in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
+        for s in sorted(range(1, len(out)), key=length.__getitem__, reverse=True):
             up = link[s]
             if up > 0 and size[s] and (size[up] == 0 or (size[s], item[s]) < (size[up], item[up])):
                 size[up], item[up] = size[s], item[s]
-        self.next, self.link, self.length, self.size, self.item = nxt, link, length, size, item
-
-    @staticmethod
-    def _clone(nxt: list, link: list, length: list, new, p: int, to: int, c: int) -> int:
-        copy = new(length[p] + 1)
-        nxt[copy] = dict(nxt[to])
-        link[copy] = link[to]
-        link[to] = copy
-        while p >= 0 and nxt[p].get(c) == to:
-            nxt[p][c] = copy
-            p = link[p]
-        return copy
-
-    def matches(self, words: list[int]) -> list[tuple[int, int, int, int]]:
-        """(start, end, shortest item, its words) of each match that no longer match contains, in order."""
-        nxt, link, length = self.next, self.link, self.length
-        state, have = 0, 0
-        out: list[tuple[int, int, int, int]] = []
-        for i, c in enumerate(words):
-            to = nxt[state].get(c)
-            if to is None:
-                if have:
-                    out.append((i - have, i, self.item[state], self.size[state]))
-                while to is None and state:
-                    state = link[state]
-                    have = length[state]
-                    to = nxt[state].get(c)
-                if to is None:
-                    have = 0
-                    continue
-            state = to
-            have += 1
-        if have:
-            out.append((len(words) - have, len(words), self.item[state], self.size[state]))
-        return out
-
-
-def build(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Automaton:
-    """The automaton of all items; items without words have no part in it."""
-    t = benchmark.select(q(id_col).cast("long").alias("item"), q(text_col).alias("text")).where("text is not null")
-    words = t.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 2
-    if words > MAX_BENCHMARK_WORDS:
-        raise ValueError(f"the benchmark has up to {words:.0f} words; the automaton is meant for {MAX_BENCHMARK_WORDS}: split it into several runs")
-    rows = sorted(t.distinct().collect(), key=lambda r: (r.item is None, r.item or 0, r.text))
-    items = []
-    col = pa.array([r.text for r in rows], pa.string())
-    for lo, hi, buf, offs in text_chunks(col, lower=True):
+        keys = np.fromiter(nxt.keys(), np.int64, len(nxt))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.fromiter(nxt.values(), np.int32, len(nxt))[order]
+        self.link, self.length, self.size = (np.array(x, np.int32) for x in (link, length, size))
+        self.item = np.array(item, np.int64)
+
+    def to_file(self, f) -> None:
+        arrays = [getattr(self, n) for n in self.ARRAYS]
+        f.write(np.array([len(a) for a in arrays], np.int64).tobytes())
+        for a in arrays:
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
+
+    @classmethod
+    def from_bytes(cls, raw: np.ndarray, at: int) -> tuple[Automaton, int]:
+        """The automaton that begins at this byte, without copying, and where it ends."""
+        auto = cls.__new__(cls)
+        sizes = raw[at : at + 8 * len(cls.ARRAYS)].view(np.int64).tolist()
+        at += 8 * len(cls.ARRAYS)
+        for name, n, kind in zip(cls.ARRAYS, sizes, (np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64), strict=True):
+            width = np.dtype(kind).itemsize * n
+            setattr(auto, name, raw[at : at + width].view(kind))
+            at += width + -width % 8
+        return auto, at
+
+    def limits(self, max_words: int, max_coverage: float, min_words: int) -> np.ndarray:
+        """For each state, itself or the next on its suffix links whose longest passage exceeds a limit; 0 if there is none."""
+        ok = (self.length >= max_words) | ((self.length >= min_words) & (self.length >= max_coverage * self.size))
+        best = np.where(ok, np.arange(len(ok)), np.where(self.link > 0, self.link, 0))
+        while True:
+            step = np.where(ok, best, best[best])
+            if (step == best).all():
+                return np.where(ok[best], best, 0)
+            best = step
+
+    def matches(self, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, max_words: int, max_coverage: float, min_words: int, best: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, end, item, its words) of the longest passage over a limit that ends at each place of the runs [lo, hi) of ``words``. All runs take a step together."""
+        order = np.argsort(lo - hi, kind="stable")
+        lo, size = lo[order], (hi - lo)[order]
+        state, have = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
+        wide = max(len(self.vocabulary), 1)
+        out: list[tuple[np.ndarray, ...]] = []
+        for t in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -t, "left"))
+            c = words[lo[:live] + t]
+            s, n = state[:live], have[:live]
+            todo = np.arange(live)
+            while len(todo):
+                key = s[todo] * wide + c[todo]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                s[todo[hit]] = self.to[at[hit]]
+                n[todo[hit]] += 1
+                todo = todo[~hit]
+                n[todo[s[todo] == 0]] = 0
+                todo = todo[s[todo] > 0]
+                s[todo] = self.link[s[todo]]
+                n[todo] = self.length[s[todo]]
+            whole = (n >= max_words) | ((n >= min_words) & (n >= max_coverage * self.size[s]))
+            up = best[np.maximum(self.link[s], 0)]
+            got = np.flatnonzero(whole | (up > 0))
+            if len(got):
+                of = np.where(whole[got], s[got], up[got])
+                long = np.where(whole[got], n[got], self.length[of])
+                end = lo[got] + t + 1
+                out.append((end - long, end, self.item[of], self.size[of].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, np.int64) for _ in range(4))
+
+
+def _outermost(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The spans that no other one contains, in order; of equal ones that of the shortest item, then the least id."""
+    s, e, item, size = found
+    o = np.lexsort((item, size, s, -e))
+    s, e, item, size = s[o], e[o], item[o], size[o]
+    # from the last end to the first: a span stays if it begins before all that end later or begin as early
+    before = np.minimum.accumulate(np.append(np.int64(1) << 62, s))[:-1]
+    keep = np.flatnonzero(s < before)[::-1]
+    return s[keep], e[keep], item[keep], size[keep]
+
+
+class Benchmark:
+    """The automata of a benchmark, in a file that Spark sends to every machine."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self._automata: list[Automaton] | None = None
+        self._best: dict[tuple, list[np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "_automata": None, "_best": {}}
+
+    @property
+    def automata(self) -> list[Automaton]:
+        if self._automata is None:
+            path = SparkFiles.get(self.name)
+            raw = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.empty(0, np.uint8)
+            self._automata, at = [], 0
+            while at < len(raw):
+                one, at = Automaton.from_bytes(raw, at)
+                self._automata.append(one)
+        return self._automata
+
+    def find(self, buf: np.ndarray, offs: np.ndarray, max_words: int, max_coverage: float, min_words: int) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
+        """(row, first word, end word, item, coverage) of contaminated spans, words counted over all rows; then the first word of each row."""
         st, en, first, m = split_words(buf, offs, WORD_BYTE)
+        if not len(st) or not self.automata:
+            return [], first
         h = hash_words(buf, st, en, m)
-        items += [(-1 if rows[i].item is None else rows[i].item, h[first[i - lo] : first[i - lo + 1]]) for i in range(lo, hi)]
-    return Automaton([x for x in items if len(x[1])])
-
-
-def _find(auto: Automaton, buf: np.ndarray, offs: np.ndarray, max_words: int, max_coverage: float, min_words: int) -> tuple[list[tuple[int, int, int, int, float]], tuple]:
-    """(row, first word, end word, item, coverage) of contaminated spans, words counted over all rows."""
-    st, en, first, m = split_words(buf, offs, WORD_BYTE)
-    if not len(st) or not len(auto.vocabulary):
-        return [], (st, en, first)
-    h = hash_words(buf, st, en, m)
-    word = np.minimum(np.searchsorted(auto.vocabulary, h), len(auto.vocabulary) - 1)
-    known = auto.vocabulary[word] == h
-    doc = row_of(first)
-    # runs of known words within a row
-    start = known.copy()
-    start[1:] &= ~(known[:-1] & (doc[1:] == doc[:-1]))
-    end = known.copy()
-    end[:-1] &= ~(known[1:] & (doc[1:] == doc[:-1]))
-    a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
-    least = min(min_words, max_words)
-    long = b - a >= least
-    out = []
-    for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True):
-        for s, e, item, size in auto.matches(word[x:y].tolist()):
-            n = e - s
-            if n >= max_words or (n >= min_words and n >= max_coverage * size):
-                out.append((int(doc[x]), x + s, x + e, item, n / size))
-    return out, (st, en, first)
-
-
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        doc = row_of(first)
+        limits = (max_words, max_coverage, min_words)
+        if limits not in self._best:
+            self._best[limits] = [a.limits(*limits) for a in self.automata]
+        found = []
+        for auto, best in zip(self.automata, self._best[limits], strict=True):
+            word = np.minimum(np.searchsorted(auto.vocabulary, h), len(auto.vocabulary) - 1)
+            known = auto.vocabulary[word] == h
+            # runs of known words within a row
+            start, end = known.copy(), known.copy()
+            start[1:] &= ~(known[:-1] & (doc[1:] == doc[:-1]))
+            end[:-1] &= ~(known[1:] & (doc[1:] == doc[:-1]))
+            a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
+            long = b - a >= min(min_words, max_words)
+            found.append(auto.matches(word, a[long], b[long], *limits, best))
+        s, e, item, size = _outermost(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
+        return list(zip(doc[s].tolist(), s.tolist(), e.tolist(), item.tolist(), ((e - s) / np.maximum(size, 1)).tolist(), strict=True)), first
+
+
+def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Iterator[Automaton]:
+    """Automata of all items, each of ``shard_words`` words or one longer item; items come to the driver one partition at a time. Items without words have no part in them."""
+    t = benchmark.select(q(id_col).cast("long").alias("item"), q(text_col).alias("text")).where("text is not null").distinct()
+    held: list[tuple[int, np.ndarray]] = []
+    count = 0
+    for r in t.toLocalIterator():
+        for _, _, buf, offs in text_chunks(pa.array([r.text], pa.string()), lower=True):
+            st, en, _, m = split_words(buf, offs, WORD_BYTE)
+            if len(st):
+                held.append((-1 if r.item is None else r.item, hash_words(buf, st, en, m)))
+                count += len(st)
+        if count >= shard_words:
+            yield Automaton(held)
+            held, count = [], 0
+    if held:
+        yield Automaton(held)
+
+
+def build(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Benchmark:
+    """The benchmark's automata as a file of Spark's, some 80 bytes a word of the benchmark."""
+    spark = benchmark.sparkSession
+    shared = new_path(spark, "automaton")
+    with tempfile.TemporaryDirectory() as folder:  # on the driver, until the file lies in the shared folder
+        local = os.path.join(folder, "automaton")
+        with open(local, "wb") as f:
+            for one in automata(benchmark, id_col, text_col, shard_words):
+                one.to_file(f)
+        jvm = spark.sparkContext._jvm
+        to = jvm.org.apache.hadoop.fs.Path(shared)
+        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
+    spark.sparkContext.addFile(shared)
+    return Benchmark(shared.rsplit("/", 1)[-1])
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, item_id, coverage) of each match that exceeds a limit.
 
-    A match is a run of words that occurs in an item and is part of no longer such run at its place. It counts if it has ``max_words`` words, or ``min_words`` words
-    and the share ``max_coverage`` of the shortest item that holds it (ties: the least item_id), which is the one named. Words are runs of
-    letters, digits and underscores without regard to case, counted from 0. Null and empty texts have no matches; each row is searched on its own, repeated rows
-    give repeated results. An empty table or benchmark gives an empty result; an item of null id is named -1.
+    A match is a run of words that occurs in an item. It exceeds a limit if it has ``max_words`` words, or ``min_words`` words and the share ``max_coverage`` of the shortest item
+    that holds it (ties: the least item_id), which is the one named; of matches that do, those are given that no other one contains. Words are runs of
+    letters, digits and underscores without regard to case, counted from 0. So an item of fewer than ``min_words`` words is never found. Null and empty texts have no matches; each
+    row is searched on its own and whole, however long; repeated rows give repeated results. An empty table or benchmark gives an empty result; an item of null id is named -1.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark))
+    bench = build(benchmark, shard_words=shard_words)
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
         doc_id = b.column("doc_id")
         for lo, _, buf, offs in text_chunks(b.column("text"), lower=True):
-            hits, (_, _, first) = _find(shared.value, buf, offs, max_words, max_coverage, min_words)
+            hits, first = bench.find(buf, offs, max_words, max_coverage, min_words)
             if hits:
                 row = np.array([x[0] for x in hits])
                 base = first[row]
@@ -172,13 +273,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
     return in_arrow(run, d, "doc_id long, start_word int, end_word int, n_words int, item_id long, coverage double")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS, text_col: str = "text", size_col: str = "n_chars", shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents without their contaminated spans, with all columns; ``size_col``, where there is one, is set anew for texts that change.
 
     A span goes from its first word's first to its last word's last character; what stood around it is joined by one blank.
-    A document of which nothing but white space is left goes; all others stay, those of null or empty text unchanged.
+    A document of which nothing but white space is left goes; all others stay, those of null or empty text unchanged. Texts are searched whole, however long;
+    repeated rows are cut alike. An empty benchmark leaves all as it is, an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark))
+    bench = build(benchmark, shard_words=shard_words)
     names = docs.columns
     text_at = [c.lower() for c in names].index(text_col.lower())
     schema = docs.schema
@@ -190,7 +292,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int =
             for lo, hi, buf, offs in text_chunks(col):
                 # lower case can change the number of bytes; then the row is cut in its lower-cased words' order
                 for lo2, hi2, low, offs2 in text_chunks(col.slice(lo, hi - lo), lower=True):
-                    hits, _ = _find(shared.value, low, offs2, max_words, max_coverage, min_words)
+                    hits, _ = bench.find(low, offs2, max_words, max_coverage, min_words)
                     if not hits:
                         continue
                     st, en, first, _ = split_words(buf, offs, WORD_BYTE)

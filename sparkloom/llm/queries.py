@@ -98,18 +98,17 @@ SQL: dict[str, str] = {
         ), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, text, role ORDER BY s) AS run FROM m)
         SELECT doc_id, role, min(s)::INTEGER AS start_word, max(e)::INTEGER AS end_word, (max(e) - min(s))::INTEGER AS n_words FROM r GROUP BY doc_id, text, role, run
     """,
-    # common runs of 8 words and more on each diagonal of a document and an item, without those that a longer one holds
+    # common runs on each diagonal of a document and an item that exceed a limit, without those that another one holds
     "op4_decontamination": """
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{80}-\\x{10FFFF}]+') AS ws FROM documents WHERE text IS NOT NULL),
         b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{80}-\\x{10FFFF}]+') AS ws FROM benchmark WHERE text IS NOT NULL),
         dg AS (SELECT doc_id, unnest(range(len(ws) - 7)) AS i, unnest(list_transform(range(len(ws) - 7), lambda j: array_to_string(ws[j + 1:j + 8], ' '))) AS k FROM d WHERE len(ws) >= 8),
         bg AS (SELECT item_id, len(ws) AS size, unnest(range(len(ws) - 7)) AS j, unnest(list_transform(range(len(ws) - 7), lambda x: array_to_string(ws[x + 1:x + 8], ' '))) AS k FROM b WHERE len(ws) >= 8),
         h AS (SELECT doc_id, item_id, size, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM dg JOIN bg USING (k)),
-        m AS (SELECT doc_id, item_id, size, min(i) AS s, max(i) + 8 AS e FROM h GROUP BY doc_id, item_id, size, diagonal, run),
+        m AS (SELECT doc_id, item_id, size, min(i) AS s, max(i) + 8 AS e FROM h GROUP BY doc_id, item_id, size, diagonal, run HAVING max(i) + 8 - min(i) >= 13 OR max(i) + 8 - min(i) >= 0.6 * size),
         t AS (SELECT doc_id, s, e, min(struct_pack(size := size, item_id := item_id)) AS item FROM m
             WHERE NOT EXISTS (FROM m o WHERE o.doc_id = m.doc_id AND o.s <= m.s AND o.e >= m.e AND o.e - o.s > m.e - m.s) GROUP BY doc_id, s, e)
-        SELECT doc_id, s::INTEGER AS start_word, e::INTEGER AS end_word, (e - s)::INTEGER AS n_words, item.item_id AS item_id, (e - s)::DOUBLE / item.size AS coverage
-        FROM t WHERE e - s >= 13 OR e - s >= 0.6 * item.size
+        SELECT doc_id, s::INTEGER AS start_word, e::INTEGER AS end_word, (e - s)::INTEGER AS n_words, item.item_id AS item_id, (e - s)::DOUBLE / item.size AS coverage FROM t
     """,
     "op7_topk_search": """
         WITH pairs AS (

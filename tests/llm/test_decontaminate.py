@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from sparkloom.llm.decontaminate import contaminated_spans, remove_contamination
+from sparkloom.llm.decontaminate import Automaton, contaminated_spans, remove_contamination
 
 
 def words(t):
@@ -23,14 +24,13 @@ def brute(docs, items, max_words, max_coverage, min_words):
         w = words(t)
         spans = []
         for a in range(len(w)):
-            b = a
-            while b < len(w) and tuple(w[a : b + 1]) in subs:
-                b += 1
-            if b > a and not any(x <= a and b <= y for x, y in spans):
-                spans.append((a, b))
+            for b in range(a + 1, len(w) + 1):
+                size, _ = subs.get(tuple(w[a:b]), (0, 0))
+                if size and (b - a >= max_words or (b - a >= min_words and b - a >= max_coverage * size)):
+                    spans.append((a, b))
         for a, b in spans:
-            size, i = subs[tuple(w[a:b])]
-            if b - a >= max_words or (b - a >= min_words and b - a >= max_coverage * size):
+            if not any((x, y) != (a, b) and x <= a and b <= y for x, y in spans):
+                size, i = subs[tuple(w[a:b])]
                 out.append((d, a, b, b - a, i, (b - a) / size))
     return sorted(out, key=str)
 
@@ -49,8 +49,30 @@ def test_against_brute_force(spark, seed):
             t += (w.split()[: r.randint(1, 15)] if r.random() < 0.5 else [r.choice([*vocab, "Other,"]) for _ in range(r.randint(1, 10))])
         docs.append((i, " ".join(t).upper() if r.random() < 0.3 else "\n".join(t)))
     docs += [(100, None), (101, ""), (None, items[3][1]), (3, items[3][1])]
-    got = contaminated_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 7, 0.6, 3)
-    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(docs, items, 7, 0.6, 3)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items, 7, 0.6, 3)
+    # one automaton, and several of a few items each
+    for shard in (1_000_000, 20):
+        assert sorted((tuple(x) for x in contaminated_spans(d, b, 7, 0.6, 3, shard_words=shard).collect()), key=str) == want
+
+
+def test_a_covered_item_inside_a_longer_passage_of_another_item(spark):
+    short = " ".join(f"w{i}" for i in range(9))
+    long = " ".join([*(f"x{i}" for i in range(20)), short, "y", *(f"z{i}" for i in range(20))])
+    docs = spark.createDataFrame([(1, f"before {short} y after")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    assert [tuple(x) for x in contaminated_spans(docs, items).collect()] == [(1, 1, 10, 9, 1, 1.0)]
+
+
+def test_size_of_the_automaton():
+    """About 80 bytes a word."""
+    import io
+
+    r = random.Random(1)
+    h = np.array([r.randrange(1, 3000) for _ in range(20_000)], np.uint64)
+    f = io.BytesIO()
+    Automaton([(i, h[i : i + 50]) for i in range(0, len(h), 50)]).to_file(f)
+    assert len(f.getvalue()) < 100 * len(h)
 
 
 def test_removal(spark):
