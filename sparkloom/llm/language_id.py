@@ -19,7 +19,10 @@ from sparkloom.llm._common import WORD_BYTE, hash_words, in_arrow, mix, q, row_k
 #: Labelled documents of each language, and words of each, that the model is trained on.
 SAMPLE, SAMPLE_WORDS = 100, 2000
 #: Expected share of words that a document's language must have.
-MIN_SHARE = 0.4
+MIN_SHARE = 0.5
+#: Share of words that the lexicon must hold, in documents of MIN_WORDS words or more: text in none of the labels' languages, or in none at all, has next to none,
+#: however many labels there are. Documents of the labels' languages have a quarter and more.
+MIN_KNOWN, MIN_WORDS = 0.1, 10
 #: Steps of the optimiser and its ridge penalty.
 STEPS, RIDGE = 40, 1e-5
 #: Hashed features; lexicon entries follow them.
@@ -135,7 +138,7 @@ class Model:
         self.start, self.trans = np.zeros(k), np.zeros((k, k))
 
     def posteriors(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of each word that has a letter, its posteriors [words, labels], words' starts in bytes)."""
+        """(row of each word that has a letter, its posteriors [words, labels], whether the lexicon has it)."""
         st, en, first, m = split_words(buf, offs, WORD_BYTE)
         letters = np.concatenate([[0], np.cumsum(_LETTER[buf])])
         ok = letters[en] > letters[st]
@@ -143,11 +146,13 @@ class Model:
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))[ok]
         st, en = st[ok], en[ok]
         if not len(st):
-            return row, np.empty((0, len(self.labels))), st
+            return row, np.empty((0, len(self.labels))), np.empty(0, bool)
         # each distinct word of the chunk is scored once
         _, once, word = np.unique(h, return_index=True, return_inverse=True)
         score = _emissions(self.weights, *_features(buf, st[once], en[once], self.lexicon, h[once]), len(once))[word]
-        return row, forward_backward(score, np.append(True, row[1:] != row[:-1]), self.start, self.trans)[0], st
+        at = np.minimum(np.searchsorted(self.lexicon, h[once]), max(len(self.lexicon) - 1, 0))
+        known = (self.lexicon[at] == h[once])[word] if len(self.lexicon) else np.zeros(len(h), bool)
+        return row, forward_backward(score, np.append(True, row[1:] != row[:-1]), self.start, self.trans)[0], known
 
 
 def train(rows: list[tuple[str, str]], steps: int = STEPS, ridge: float = RIDGE, seed: int = 3) -> Model | None:
@@ -219,8 +224,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS,
     return train([(r.text, r.lang) for r in rows])
 
 
-def _judge(model: Model | None, min_share: float):
-    """Of a text column: rows (language or None, share, share of the second, words, switches, accepted)."""
+def _judge(model: Model | None, min_share: float, min_known: float, min_words: int):
+    """Of a text column: rows (language or None, its share, share of known words, words, switches, accepted)."""
 
     def run(col: pa.Array) -> Iterator[tuple[int, int, dict]]:
         for lo, hi, buf, offs in text_chunks(col, lower=True):
@@ -228,10 +233,11 @@ def _judge(model: Model | None, min_share: float):
             if model is None:
                 st, en, first, _ = split_words(buf, offs, WORD_BYTE)
                 words = np.diff(first)
-                yield lo, hi, {"lang_id": [None] * n, "share": [None] * n, "n_words": words, "n_switches": np.zeros(n, np.int64), "accepted": words > 0}
+                yield lo, hi, {"lang_id": [None] * n, "share": [None] * n, "known": [None] * n, "n_words": words, "n_switches": np.zeros(n, np.int64), "accepted": words > 0}
                 continue
-            row, post, _ = model.posteriors(buf, offs)
+            row, post, in_lexicon = model.posteriors(buf, offs)
             words = np.bincount(row, minlength=n)
+            known = np.bincount(row, weights=in_lexicon, minlength=n) / np.maximum(words, 1)
             share = np.stack([np.bincount(row, weights=post[:, j], minlength=n) for j in range(post.shape[1])], axis=1) / np.maximum(words, 1)[:, None]
             best = share.argmax(axis=1)
             label = post.argmax(axis=1)
@@ -240,39 +246,54 @@ def _judge(model: Model | None, min_share: float):
             yield lo, hi, {
                 "lang_id": [model.labels[j] if w else None for j, w in zip(best.tolist(), words.tolist(), strict=True)],
                 "share": [x if w else None for x, w in zip(np.round(top, 6).tolist(), words.tolist(), strict=True)],
-                "n_words": words, "n_switches": np.bincount(row[turn], minlength=n), "accepted": (words > 0) & (top >= min_share),
+                "known": [x if w else None for x, w in zip(np.round(known, 6).tolist(), words.tolist(), strict=True)], "n_words": words,
+                "n_switches": np.bincount(row[turn], minlength=n), "accepted": (words > 0) & (top >= min_share) & ((known >= min_known) | (words < min_words)),
             }
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_id, share, n_words, n_switches, accepted) for every row.
+def identify(docs: DataFrame, model: Model | None, min_share: float = MIN_SHARE, min_known: float = MIN_KNOWN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_id, share, known, n_words, n_switches, accepted) for every row.
 
-    ``share`` is the expected share of the words in the language that has most; ``n_switches`` counts neighbouring words whose likeliest
-    labels differ. Words are runs of letters, digits and underscores that hold a letter. A document is accepted if its language has ``min_share`` of its words;
-    a null or empty text, or one without words, has a null language and is not accepted. Without a model (no labelled rows) the language is null and
-    a text with words is accepted. Repeated rows give repeated results; other columns are not read.
+    ``share`` is the expected share of the words in the language that has most, ``known`` the share of words that the lexicon holds; ``n_switches`` counts neighbouring words whose
+    likeliest labels differ. Words are runs of letters, digits and underscores that hold a letter. A document is accepted if its language has ``min_share`` of its words and, if it has
+    ``min_words`` words, ``min_known`` of them are known. A null or empty text, or one without words, has a null language and is not accepted. Without a model (no labelled rows)
+    the language is null and a text with words is accepted. Texts are read whole, however long. Repeated rows give repeated results, an empty table an empty one; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
-        for lo, hi, out in _judge(shared.value, min_share)(b.column("text")):
+        for lo, hi, out in _judge(shared.value, min_share, min_known, min_words)(b.column("text")):
             yield {"doc_id": b.column("doc_id").slice(lo, hi - lo), **out}
 
     d = docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).alias("text"))
-    return in_arrow(run, d, "doc_id long, lang_id string, share double, n_words long, n_switches long, accepted boolean")
+    return in_arrow(run, d, "doc_id long, lang_id string, share double, known double, n_words long, n_switches long, accepted boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, min_share: float = MIN_SHARE, text_col: str = "text") -> DataFrame:
-    """The accepted documents, with all columns as they are."""
+def keep_identified(docs: DataFrame, model: Model | None, min_share: float = MIN_SHARE, min_known: float = MIN_KNOWN, min_words: int = MIN_WORDS, languages: list[str] | None = None, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The accepted documents, of the ``languages`` wanted (all labels if none are named), with the identified language in ``lang_col``, where there is such a text column; other columns stay as they are.
+
+    Null and empty texts and texts without words go. Without a model, texts with words stay with the language they have. Repeated rows are judged alike; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    names = [c.lower() for c in docs.columns]
+    at = names.index(text_col.lower())
+    label = names.index(lang_col.lower()) if lang_col and lang_col.lower() in names and docs.schema[names.index(lang_col.lower())].dataType.simpleString() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [x["accepted"] for _, _, x in _judge(shared.value, min_share)(b.column(at))]
-            yield b.filter(pa.array(np.concatenate(ok))) if ok else b
+            judged = [x for _, _, x in _judge(shared.value, min_share, min_known, min_words)(b.column(at))]
+            if not judged:
+                yield b
+                continue
+            lang = [x for j in judged for x in j["lang_id"]]
+            ok = np.concatenate([j["accepted"] for j in judged])
+            if languages is not None and shared.value is not None:
+                ok &= np.array([x in languages for x in lang], bool)
+            if label is not None and shared.value is not None:
+                b = b.set_column(label, b.schema.field(label), pa.array(lang, b.schema.field(label).type))
+            yield b.filter(pa.array(ok))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -6,6 +6,7 @@ one byte moves every rule at once: state = ((state << 1) & mask[byte]) | (state
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -30,17 +31,17 @@ RULES: list[tuple[str, str, str]] = [
 ]
 #: Query fields that only track.
 TRACKING = ("utm_", "gclid", "fbclid", "ref")
+_SCHEME = re.compile(r"([a-zA-Z][a-zA-Z0-9+.-]*)://")
 
 
 def canonical(url: str) -> bytes | None:
     """host[:port]/path[?query]: no scheme, user, fragment, leading ``www.``, default port, trailing slash or tracking fields; host in lower case, escapes of plain characters undone, dot segments resolved, query fields sorted. None for what has no host."""
     u = url.strip()
-    low = u.lower()
     scheme = "http"
-    if "://" in u:
-        scheme, _, u = u.partition("://")
-        scheme = scheme.lower()
-    elif low.startswith("//"):
+    # only what stands at the beginning is a scheme: a URL in the query is none of it
+    if m := _SCHEME.match(u):
+        scheme, u = m[1].lower(), u[m.end() :]
+    elif u.startswith("//"):
         u = u[2:]
     u = u.partition("#")[0]
     rest, mark, query = u.partition("?")
@@ -158,7 +159,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_
     """(page_id, canonical_url, rules, rule, kept) for every row: all rules that match, in their order; the last of them, which decides; whether the page stays.
 
     A page that no rule matches stays. A null, empty or hostless URL has a null canonical URL, matches nothing and does not stay. Repeated rows give
-    repeated results; other columns are not read. An empty list of rules keeps every page that has a host.
+    repeated results; URLs are read whole, however long; other columns are not read. An empty list of rules keeps every page that has a host; an empty table gives an empty result.
     """
     globs = Globs([g for _, g, _ in rules])
 
@@ -180,7 +181,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_
 
 
 def keep_allowed(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
-    """The pages whose URL stays, with all columns as they are."""
+    """The pages whose URL stays, with all columns as they are.
+
+    Null, empty and hostless URLs go. Repeated rows are treated alike; an empty table stays empty, an empty list of rules keeps every page that has a host. URLs are read whole, however long.
+    """
     globs = Globs([g for _, g, _ in rules])
     at = [c.lower() for c in pages.columns].index(url_col.lower())
     allow = np.array([a == "allow" for _, _, a in rules], bool)

@@ -1,10 +1,12 @@
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 
-from sparkloom.llm.language_id import fit, forward_backward, identify, keep_identified, label_spans, train
+from sparkloom.llm.language_id import _HASHED, fit, forward_backward, identify, keep_identified, label_spans, train
 
 WORDS = {"aa": ["kata", "malo", "tirra", "pelka", "sano"], "bb": ["schtu", "wunz", "grech", "holbt", "unt"], "cc": ["ñuea", "çoirè", "élan", "vaux", "où"]}
 
@@ -82,3 +84,68 @@ def test_rows(spark):
     assert sorted(str(x.doc_id) for x in left.collect()) == sorted(str(x[0]) for x in rows if x[0] not in (100, 101, 102))
     assert fit(df.limit(0)) is None and identify(df.limit(0), None).count() == 0
     assert {x.doc_id for x in keep_identified(df, None).collect()} == {x[0] for x in rows if x[0] not in (100, 101)}
+
+
+def splitmix(x):
+    m = 2**64 - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & m
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def plain(model, lexicon_words, text):
+    """(language, share, known, words, switches) word by word in plain Python: features one at a time, then forward-backward with logarithms."""
+    words = [w for w in re.findall(rb"[0-9a-z_\x80-\xff]+", (text or "").lower().encode()) if re.search(rb"[a-z\x80-\xff]", w)]
+    k = len(model.labels)
+    if not words:
+        return None, None, None, 0, 0
+    score = []
+    for w in words:
+        f = [splitmix(int.from_bytes(x, "big") + ((2 * n + side) << 40)) % _HASHED for n in (1, 2, 3, 4) if len(w) >= n for side, x in ((0, w[:n]), (1, w[-n:]))]
+        f += [splitmix(int.from_bytes(w[i : i + 3], "big") + (1 << 50)) % _HASHED for i in range(len(w) - 2)]
+        f += [_HASHED + lexicon_words[w]] if w in lexicon_words else []
+        score.append([float(sum(model.weights[x][j] for x in f)) for j in range(k)])
+    total = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    a = [[model.start[j] + score[0][j] for j in range(k)]]
+    for s in score[1:]:
+        a.append([s[j] + total([a[-1][i] + model.trans[i][j] for i in range(k)]) for j in range(k)])
+    b = [[0.0] * k]
+    for s in score[:0:-1]:
+        b.insert(0, [total([model.trans[j][i] + s[i] + b[0][i] for i in range(k)]) for j in range(k)])
+    post = [[math.exp(x + y - total([p + q for p, q in zip(u, v)])) for x, y in zip(u, v)] for u, v in zip(a, b)]
+    share = [sum(p[j] for p in post) / len(words) for j in range(k)]
+    label = [max(range(k), key=p.__getitem__) for p in post]
+    return model.labels[max(range(k), key=share.__getitem__)], max(share), sum(w in lexicon_words for w in words) / len(words), len(words), sum(x != y for x, y in zip(label, label[1:]))
+
+
+def test_against_plain_python(spark):
+    from sparkloom.llm._common import WORD_BYTE, hash_words, split_words
+
+    r = random.Random(12)
+    model = train([(text(r, lang, 40), lang) for lang in WORDS for _ in range(8)])
+    vocabulary = sorted({w for x in WORDS.values() for a in x for w in (a, *(a + b for b in x))})
+    raw = " ".join(vocabulary).encode()
+    buf = np.frombuffer(raw, np.uint8)
+    st, en, _, m = split_words(buf, np.array([0, len(raw)]), WORD_BYTE)
+    lexicon = {x: i for i, x in enumerate(model.lexicon.tolist())}
+    lexicon_words = {w.encode(): lexicon[h] for w, h in zip(vocabulary, hash_words(buf, st, en, m).tolist(), strict=True) if h in lexicon}
+    docs = [" ".join(text(r, r.choice(list(WORDS)), r.randint(1, 9)) + r.choice(["", ",", " 12", "\nKATA", " xqzz"]) for _ in range(r.randint(1, 5))) for _ in range(30)]
+    docs += ["qwrtp zzxy " * 10, "", "99 !", "kata"]
+    got = {x.doc_id: x for x in identify(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(docs):
+        lang, share, known, n, switches = plain(model, lexicon_words, t)
+        assert (got[i].lang_id, got[i].n_words, got[i].n_switches) == (lang, n, switches)
+        assert got[i].accepted == (n > 0 and share >= 0.5 and (known >= 0.1 or n < 10))
+        if n:
+            assert abs(got[i].share - share) < 1e-4 and abs(got[i].known - known) < 1e-5
+    assert not got[30].accepted
+
+
+def test_languages_wanted_and_labels_set(spark):
+    r = random.Random(3)
+    rows = [(i, text(r, lang, 30), lang) for i, lang in enumerate(list(WORDS) * 4)]
+    model = train([(t, lang) for _, t, lang in rows])
+    df = spark.createDataFrame([(i, t, None if i % 2 else lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    assert {(x.doc_id, x.lang) for x in keep_identified(df, model, languages=["aa", "cc"]).collect()} == {(i, lang) for i, _, lang in rows if lang != "bb"}

@@ -51,3 +51,28 @@ def test_odd_rows(spark):
     assert {(x.source, x.copies) for x in some} == {(None, 0), ("s", 1), ("gone", 0), ("big", 0)}
     assert with_rates(df.limit(0), {"source": 0.5}).count() == 0
     assert with_rates(df.withColumnRenamed("x0", "rate"), {"source": 0.5}).columns == ["doc_id", "text", "source", "rate", "tokens", "rate_", "copies"]
+
+
+def test_many_levels_by_conjugate_gradients(spark, monkeypatch):
+    from sparkloom.llm import mixing
+
+    r = random.Random(4)
+    rows = [(i, "w " * r.randint(1, 9), f"s{r.randrange(40)}", r.choice("xyz")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    dense = {x.doc_id: x.rate for x in with_rates(df).collect()}
+    monkeypatch.setattr(mixing, "DENSE", 5)
+    sparse = {x.doc_id: x.rate for x in with_rates(df).collect()}
+    assert all(abs(dense[i] - sparse[i]) < 1e-6 * dense[i] for i in dense)
+
+
+def test_many_thousand_levels(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 3 AS int)) AS text", "id % 5000 AS source", "cast(floor(id / 5000) % 2 AS string) AS lang")
+    got = with_rates(df, {"source": 0.5, "lang": {"0": 0.7, "1": 0.3}}).selectExpr("sum(tokens * rate) AS all", "sum(tokens * rate) FILTER (WHERE lang = '0') AS zero", "min(rate) AS least").first()
+    assert abs(got["zero"] / got["all"] - 0.7) < 1e-6 and abs(got["least"] - 1) < 1e-9
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b", "s", 1, 2), (2, "c d e", "t", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __t string, loom_t int, loom_x0 int")
+    got = with_rates(df, {"__t": 0.0})
+    assert got.columns == [*df.columns, "tokens", "rate", "copies"] and {(x.doc_id, round(x.rate, 6)) for x in got.collect()} == {(1, 1.5), (2, 1.0)}

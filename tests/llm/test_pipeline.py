@@ -49,7 +49,7 @@ def test_against_plain_python(spark, tmp_path):
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     # language ID
     model = train(sorted({(x[1], x[2]) for x in rows}))
-    ok = next(_judge(model, 0.4)(pa.array([x[1] for x in rows])))[2]["accepted"]
+    ok = next(_judge(model, 0.5, 0.1, 10)(pa.array([x[1] for x in rows])))[2]["accepted"]
     docs = [x for x, keep in zip(rows, ok, strict=True) if keep]
     assert 50 not in {x[0] for x in docs}
     # near duplicates

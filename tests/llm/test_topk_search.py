@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sparkloom.llm.topk_search import statistics, top_k
+from sparkloom.llm.topk_search import Boxes, Search, statistics, top_k
 
 
 def brute(rows, k):
@@ -14,9 +14,9 @@ def brute(rows, k):
     return sorted(out, key=str)
 
 
-def run(spark, rows, k, **kw):
+def run(spark, rows, k, every=1, **kw):
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<float>, rank int")
-    return sorted((tuple(x) for x in top_k(df, k, **kw).collect()), key=str)
+    return sorted((tuple(x) for x in top_k(df, k, every, **kw).collect()), key=str)
 
 
 @pytest.mark.parametrize("dim,block", [(16, 40), (5, 1000)])
@@ -25,7 +25,8 @@ def test_against_brute_force(spark, dim, block):
     centres = r.normal(size=(6, dim)) * 3
     x = (centres[r.integers(0, 6, 150)] + r.normal(size=(150, dim)) * 0.3).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    assert run(spark, rows, 4, block=block) == brute(rows, 4)
+    assert run(spark, rows, 4, block=block, together=20) == brute(rows, 4)
+    assert run(spark, rows, 4, every=7, block=block) == [x for x in brute(rows, 4) if x[0] % 7 == 0]
 
 
 def test_odd_rows(spark):
@@ -46,3 +47,32 @@ def test_statistics_bound_distances():
         assert (bound <= true + 1e-9).all()
         last = bound
     assert np.allclose(last, true)
+
+
+def test_coarse_bounds_spare_fine_ones_and_distances():
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 32)) * 3
+    x = centres[np.repeat(np.arange(40), 50)] + r.normal(size=(2000, 32)) * 0.1
+    node = np.arange(2000)
+    d = np.sqrt(((x[::40, None] - x[None]) ** 2).sum(axis=2))
+    d[np.arange(50), node[::40]] = np.inf
+    # with no bound at first, and with that of the own block
+    for tau, share in ((np.full(50, np.inf), 0.6), (np.sort(d, axis=1)[:, 4], 0.03)):
+        s = Search(x[::40], node[::40], tau, 5, (4, 16))
+        for at in range(0, 2000, 100):
+            s.see(x[at : at + 100], node[at : at + 100], np.zeros(100, bool), node[at : at + 100], node[at : at + 100])
+        assert (s.id == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+        assert s.looked[0] < 0.6 * 50 * 2000 and s.looked[1] < 0.1 * s.looked[0] and s.looked[2] < share * 50 * 2000
+
+
+def test_tree_of_boxes_gives_all_near_blocks():
+    r = np.random.default_rng(4)
+    lo = r.random((90, 3))
+    hi = lo + r.random((90, 3)) * 0.1
+    boxes = Boxes(np.arange(90), np.full(90, 7), lo, hi)
+    for _ in range(20):
+        a = r.random(3)
+        b = a + 0.05
+        gap = (np.maximum(np.maximum(lo - b, a - hi), 0) ** 2).sum(axis=1)
+        at, g = boxes.near(7, a, b, 0.05)
+        assert set(at) == set(np.flatnonzero(gap <= 0.05)) and (np.diff(g) >= 0).all()

@@ -32,6 +32,8 @@ def test_canonical():
     assert canonical("https://e.org") == canonical("e.org/") == canonical("//e.org/?") == b"e.org/"
     assert canonical("http://e.org/%7Eu/%2f%e9") == b"e.org/~u/%2F%E9"
     assert canonical("http://e.org:8080/é") == "e.org:8080/é".encode()
+    assert canonical("//example.com/p?u=http://evil.org/x") == canonical("example.com/p?u=http://evil.org/x") == b"example.com/p?u=http://evil.org/x"
+    assert canonical("http://a.org/http://b.org/x") == b"a.org/http:/b.org/x"
     assert canonical("http:///x") is None and canonical("  ") is None
 
 
