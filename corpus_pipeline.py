@@ -6,20 +6,19 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm._common import durable
 from sparkloom.llm.decontaminate import remove_contamination
 from sparkloom.llm.language_id import fit, keep_identified
 from sparkloom.llm.mixing import with_rates
 from sparkloom.llm.near_dedup import drop_near_duplicates
-from sparkloom.llm.secret_scan import redact_secrets
+from sparkloom.llm.secret_scan import redact_secrets, scan_new
+from sparkloom.storage import new_path, remove
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without words, or in which no language has 40 % of them, go."""
+    """Documents go that have no words, in which no language has half of the words, or whose words are of none of the languages; ``lang`` becomes the identified language."""
     return keep_identified(docs, fit(docs))
 
 
@@ -34,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced."""
-    return redact_secrets(docs)
+    """Secrets are replaced; each distinct text is scanned into the ledger once."""
+    return redact_secrets(docs, durable(scan_new(docs)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,22 +55,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage wrote goes once the next one is written."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what a stage wrote goes once the next one is written, the last table at the end of the process.
+
+    Null and empty texts and texts without words go in the first stage; texts of any length go through whole; of rows alike in id and text one stays (second stage); ids may be null.
+    An empty table of documents, or of benchmark items, gives an empty result, or nothing to cut. Columns beyond those of ``documents`` are kept.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{i}"
+        path = new_path(spark, f"stage{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         before = path
     return docs
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

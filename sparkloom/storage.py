@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -61,8 +62,12 @@ def clear(spark: SparkSession | None = None) -> None:
     """Removes what was stored, of one session or of all."""
     for s, path in list(_written):
         if spark is None or s is spark:
-            with contextlib.suppress(Exception):  # the JVM may be gone
+            try:
                 remove(s, path)
+            except Exception:  # noqa: BLE001  Spark may have been stopped; what lies in a local folder can still go
+                local = path.removeprefix("file://").removeprefix("file:")
+                for p in (local, os.path.join(os.path.dirname(local), f".{os.path.basename(local)}.crc")):
+                    shutil.rmtree(p, ignore_errors=True) if os.path.isdir(p) else os.path.exists(p) and os.remove(p)
             _written.remove((s, path))
 
 
