@@ -19,16 +19,33 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm._common import NOT_SPACE, durable, hash_words, in_arrow, mix, q, row_key, split_words, text_chunks
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# what a browser reads to the end tag, or to the end of the page, and never shows as text; <head> itself may go without tags, only its title has text
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BLOCK_TAG = re.compile(r"<(/?)(svg|noscript|template)\b[^>]*?(/?)>", re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|main|aside|blockquote|pre|form|hr|dd|dt|dl|figure|figcaption|body|html|option|select|button)\b[^>]*|!doctype[^>]*)>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _BLANK = re.compile(r"\s+")
 _URL = re.compile(r"^\s*(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?//([^/?#]*)([^?#]*)(\?[^#]*)?")
 
 
+def _without_blocks(t: str) -> str:
+    """Drawings, templates and what is for browsers without scripts go, from tag to end tag. One that is never closed, or closes itself, has no content."""
+    tags = list(_BLOCK_TAG.finditer(t))
+    last = {m[2].lower(): m.start() for m in tags if m[1]}
+    parts, at, inside, begin = [], 0, None, 0
+    for m in tags:
+        name = m[2].lower()
+        if inside is None and not m[1] and not m[3] and last.get(name, -1) > m.start():
+            inside, begin = name, m.start()
+        elif inside == name and m[1]:
+            parts.append(t[at:begin])
+            at, inside = m.end(), None
+    return "".join([*parts, t[at:]])
+
+
 def text_lines(page: str) -> list[str]:
-    """The lines of text of a page: block tags break lines, other tags go, entities are decoded, blanks are single; empty lines are left out."""
-    t = _BREAK.sub("\n", _DROP.sub("", page))
+    """The lines of text of a page: block tags break lines, other tags go, entities are decoded, blanks are single; empty lines are left out. A tag is what HTML takes for one: ``<`` and a letter, to the next ``>``."""
+    t = _BREAK.sub("\n", _without_blocks(_DROP.sub("", page)))
     t = html.unescape(_TAG.sub("", t))
     return [x for x in (_BLANK.sub(" ", line).strip() for line in t.split("\n")) if x]
 
@@ -91,17 +108,13 @@ def line_hashes(lines: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _lines_of(b: pa.RecordBatch) -> pa.Array:
-    return pa.array(["\n".join(text_lines(page)) for page in b.column("html").to_pylist()], pa.string())
+_PAGES = "page_id long, key long, also long, host string, path string, lines string, hashes array<long>"
 
 
-def _place(b: pa.RecordBatch) -> Iterator[dict]:
+def _parse(b: pa.RecordBatch) -> Iterator[dict]:
     where = [locate(url) for url in b.column("url").to_pylist()]
-    yield {"page_id": b.column("page_id"), "key": b.column("key"), "host": [h for h, _ in where], "path": [p for _, p in where]}
-
-
-def _hashes(b: pa.RecordBatch) -> Iterator[dict]:
-    yield {"key": b.column("key"), "hashes": [x.tolist() for x in line_hashes(_lines_of(b))]}
+    lines = pa.array(["\n".join(text_lines(page)) for page in b.column("html").to_pylist()], pa.string())
+    yield {**{c: b.column(c) for c in ("page_id", "key", "also")}, "host": [h for h, _ in where], "path": [p for _, p in where], "lines": lines, "hashes": [x.tolist() for x in line_hashes(lines)]}
 
 
 def _shared_prefix(a: str, b: str | None) -> int:
@@ -117,18 +130,18 @@ def _shared_prefix(a: str, b: str | None) -> int:
 
 def _nearer(b: pa.RecordBatch) -> Iterator[dict]:
     """Of the paths before and after, the one that shares the longer prefix; the one before of two alike."""
-    keys, ids = [], []
+    nodes, ids = [], []
     for path, before, after in zip(b.column("path").to_pylist(), b.column("before").to_pylist(), b.column("after").to_pylist(), strict=True):
         x, y = _shared_prefix(path, before and before["path"]), _shared_prefix(path, after and after["path"])
         best = before if x >= y else after
-        keys.append(best and best["key"])
+        nodes.append(best and best["node"])
         ids.append(best and best["page_id"])
-    yield {"host": b.column("host"), "path": b.column("path"), "pair_key": keys, "pair_id": ids}
+    yield {"host": b.column("host"), "path": b.column("path"), "pair": nodes, "pair_id": ids}
 
 
 def _align(b: pa.RecordBatch) -> Iterator[dict]:
     gone = [common_lines(x, y) for x, y in zip(b.column("hashes").to_pylist(), b.column("pair_hashes").to_pylist(), strict=True)]
-    yield {"key": b.column("key"), "pair_id": b.column("pair_id"), "gone": gone}
+    yield {"node": b.column("node"), "pair_id": b.column("pair_id"), "gone": gone}
 
 
 def _cut(b: pa.RecordBatch) -> Iterator[dict]:
@@ -147,20 +160,28 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Nearest is, of the pages of the same host with another path, the one whose path shares the longest prefix; of two such the one that comes before in
     the order of paths; of several pages of that path the one of the least id (nulls last). A page of a host of its own, or of a URL that is null or has no host, has no
     pair and keeps all lines. Null html is an empty page, with an empty text. Rows alike in id, URL and html are one page; an
-    id may have several pages. An empty table gives an empty result; other columns are not read.
+    id may have several pages. Pages are read whole, however long. An empty table gives an empty result; other columns are not read.
     """
-    d = pages.select(q(id_col).cast("long").alias("page_id"), row_key(id_col, url_col, html_col).alias("key"), q(url_col).alias("url"), F.coalesce(q(html_col), F.lit("")).alias("html"))
-    placed = durable(in_arrow(_place, d.select("page_id", "key", "url"), "page_id long, key long, host string, path string").where("host is not null").distinct())
+    one = [q(id_col), q(url_col), q(html_col)]
+    also = F.xxhash64(F.lit("also"), *one, *[c.isNull() for c in one])
+    d = pages.select(q(id_col).cast("long").alias("page_id"), row_key(id_col, url_col, html_col).alias("key"), also.alias("also"), q(url_col).alias("url"), F.coalesce(q(html_col), F.lit("")).alias("html"))
+    # each page is parsed once; the rest reads this table, and its text only at the end
+    parsed = durable(in_arrow(_parse, d, _PAGES).withColumn("node", F.monotonically_increasing_id()))
+    # rows alike are one page: the first stands for all
+    alike = parsed.groupBy("key", "also").agg(F.min("node").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = durable(parsed.select("key", "also", "node").join(alike, ["key", "also"]).where("node <> stays").select("node"))
+    if not again.isEmpty():
+        parsed = parsed.join(again, "node", "left_anti")
+    placed = parsed.select("node", "page_id", "host", "path").where("host is not null")
     # one row a path, then its neighbours: URLs only
-    first = F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "key"))
-    paths = placed.groupBy("host", "path").agg(first.alias("r")).select("host", "path", F.struct("path", "r.key", "r.page_id").alias("r"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "node"))
+    paths = placed.groupBy("host", "path").agg(first.alias("r")).select("host", "path", F.struct("path", "r.node", "r.page_id").alias("r"))
     near = Window.partitionBy("host").orderBy("path")
     sides = paths.select("host", "path", F.lag("r").over(near).alias("before"), F.lead("r").over(near).alias("after")).where("before is not null or after is not null")
-    chosen = in_arrow(_nearer, sides, "host string, path string, pair_key long, pair_id long")
-    pairs = placed.join(chosen, ["host", "path"]).select("key", "pair_key", "pair_id")
-    hashes = durable(in_arrow(_hashes, d.select("key", "html"), "key long, hashes array<long>").dropDuplicates(["key"]))
-    both = pairs.join(hashes, "key").join(hashes.select(F.col("key").alias("pair_key"), F.col("hashes").alias("pair_hashes")), "pair_key")
-    gone = in_arrow(_align, both.select("key", "pair_id", "hashes", "pair_hashes"), "key long, pair_id long, gone array<int>")
-    lines = in_arrow(lambda b: iter([{"page_id": b.column("page_id"), "key": b.column("key"), "lines": _lines_of(b)}]), d.select("page_id", "key", "html"), "page_id long, key long, lines string")
-    whole = lines.join(gone.hint("merge"), "key", "left").dropDuplicates(["key"])
+    chosen = in_arrow(_nearer, sides, "host string, path string, pair long, pair_id long")
+    pairs = placed.join(chosen, ["host", "path"]).select("node", "pair", "pair_id")
+    hashes = parsed.select("node", "hashes")
+    both = pairs.join(hashes, "node").join(hashes.select(F.col("node").alias("pair"), F.col("hashes").alias("pair_hashes")), "pair")
+    gone = in_arrow(_align, both.select("node", "pair_id", "hashes", "pair_hashes"), "node long, pair_id long, gone array<int>")
+    whole = parsed.select("node", "page_id", "lines").join(gone, "node", "left")
     return in_arrow(_cut, whole.select("page_id", "pair_id", "lines", "gone"), "page_id long, pair_id long, text string, n_lines int, n_deleted int")

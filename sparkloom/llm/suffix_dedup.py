@@ -171,7 +171,7 @@ def _anchors(length: int):
     w = length - length // 2
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
-        key = b.column("key").to_numpy()
+        key, doc_id = b.column("key").to_numpy(), b.column("doc_id")
         for lo, _, buf, offs in text_chunks(b.column("text")):
             _, _, first, doc, g, least = _winnow(buf, offs, length)
             if not len(least):
@@ -179,7 +179,7 @@ def _anchors(length: int):
             edge = np.zeros(w - 1, np.uint64)
             pick = np.flatnonzero(window_extreme(np.concatenate([edge, least, edge]), w, np.maximum) == g)
             if len(pick):
-                yield {"h": g[pick].view(np.int64), "key": key[lo + doc[pick]], "pos": (pick - first[doc[pick]]).astype(np.int32)}
+                yield {"h": g[pick].view(np.int64), "key": key[lo + doc[pick]], "doc_id": doc_id.take(pa.array(lo + doc[pick])), "pos": (pick - first[doc[pick]]).astype(np.int32)}
 
     return run
 
@@ -280,22 +280,24 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     (nulls last), then by place: removing those keeps one copy of everything.
 
     Null and empty texts and texts of fewer than ``length`` words give no rows. Rows alike in doc_id and text are one document.
-    Passages that repeat within one document count. Other columns are not read. An empty table gives an empty result.
+    Passages that repeat within one document count. Texts are read whole, however long. Other columns are not read. An empty table gives an empty result.
     """
     if length < 4:
         raise ValueError("length must be at least 4 words")
     d = docs.select(row_key(id_col, text_col).alias("key"), q(id_col).cast("long").alias("doc_id"), q(text_col).alias("text"))
     d = d.where("text is not null")
-    found = in_arrow(_anchors(length), d.select("key", "text"), "h long, key long, pos int")
+    # a document is its id and the hash of id and text together: the hash alone would confuse some of a very large corpus
+    found = in_arrow(_anchors(length), d, "h long, key long, doc_id long, pos int")
     # places, not rows: repeated rows are one document
     both = Window.partitionBy("h")
     shared = found.withColumn("a", F.min(F.struct("key", "pos")).over(both)).withColumn("b", F.max(F.struct("key", "pos")).over(both)).where("a <> b")
-    hits = shared.groupBy("key").agg(F.collect_set(F.struct("pos", "h")).alias("hits"))
-    wide = in_arrow(_contexts(length), d.join(hits.hint("merge"), "key").dropDuplicates(["key"]), "h long, key long, doc_id long, pos int, left int, context binary")
+    hits = shared.groupBy("key", "doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("hits")).withColumnsRenamed({"key": "k", "doc_id": "i"})
+    with_hits = d.join(hits.hint("merge"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))).drop("k", "i").dropDuplicates(["key", "doc_id"])
+    wide = in_arrow(_contexts(length), with_hits, "h long, key long, doc_id long, pos int, left int, context binary")
     near = wide.repartition("h").sortWithinPartitions("h", "left", "context", F.col("doc_id").asc_nulls_last(), "key", "pos")
     spans = near.mapInArrow(_passages(length), "key long, doc_id long, role string, s int, e int")
-    by = Window.partitionBy("key", "role").orderBy("s", "e")
+    by = Window.partitionBy("key", "doc_id", "role").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
-    merged = runs.groupBy("key", "role", "run").agg(F.first("doc_id").alias("doc_id"), F.min("s").alias("start_word"), F.max("e").alias("end_word"))
+    merged = runs.groupBy("key", "doc_id", "role", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
     return merged.select("doc_id", "role", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

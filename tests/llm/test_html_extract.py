@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -22,10 +23,61 @@ def test_common_lines_against_table(seed):
 def test_text_lines():
     page = "<!DOCTYPE html><head><title>T</title></head><style>p{}</style><script>var t='</p>';</script><nav><li><a href=x>One</a></li></nav><!-- <p>no</p> --><p>a <b>b</b>&amp;c<br>d\n e<p>1 < 2</p>"
     assert text_lines(page) == ["One", "a b&c", "d", "e", "1 < 2"]
+    # tags that may be left out, that close themselves, or that are never closed
+    assert text_lines("<html><head><title>T</title><body><p>real text</p>more") == ["real text", "more"]
+    assert text_lines("<p>x</p><svg/><p>after</p>") == ["x", "after"] and text_lines("a<svg><title>q</title><text>no</text></svg>b<svg>c <noscript>no</noscript>d") == ["abc d"]
+    assert text_lines("<script>var a = '<svg>';</script>ok</svg>") == ["ok"] and text_lines("<svg>" * 3000 + "x" + "<template>" * 3000) == ["x"]
     assert text_lines("") == [] and text_lines("<script>never closed") == []
     assert locate("HTTP://u@WWW.A.com:80/x?y#z") == ("a.com", "/x?y") and locate(None) == (None, "") and locate("nohost") == (None, "")
 
 
+class Reader(HTMLParser):
+    """The text of a page by the standard library's parser."""
+
+    BREAKS = {"p", "div", "br", "li", "ul", "h1", "h2", "tr", "td", "table", "nav", "main", "footer", "header", "body", "html", "article"}
+    HIDDEN = {"title", "svg", "noscript", "template", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in self.HIDDEN
+        if tag in self.BREAKS and not self.hidden:
+            self.out.append("")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.HIDDEN
+        if tag in self.BREAKS and not self.hidden:
+            self.out.append("")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in self.BREAKS and not self.hidden:
+            self.out.append("")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            parts = data.split("\n")
+            self.out[-1] += parts[0]
+            self.out.extend(parts[1:])
+
+
+def real_page(r):
+    words = lambda n: " ".join(r.choice(["news", "caf&eacute;", "5 &lt; 6", "a &amp; b", "<b>bold</b>", '<a href="/x?y=1&z=2">link</a>', "w\u00f6rd", "<img src=x>"]) for _ in range(n))
+    head = f"<head><meta charset=utf-8><title>{words(3)}</title><style>p > a {{ }}</style><script>if (1 < 2) {{ x('<p>no</p>'); }}</script>" + r.choice(["</head>", ""])
+    body = [r.choice([f"<p class='k'>{words(8)}</p>", f"<div><ul><li>{words(2)}<li>{words(2)}</ul></div>", f"<h1>{words(3)}</h1>", f"<table><tr><td>{words(1)}</td><td>{words(1)}</td></tr></table>", "<svg width=3><text>no</text></svg>", "<noscript>turn it on</noscript>", f"<!-- {words(4)} -->", f"{words(3)}<br/>{words(2)}\n"]) for _ in range(r.randint(1, 15))]
+    return f"<!DOCTYPE html>\n<html lang=en>{head}<body><nav><a href=/>Home</a></nav><main>{''.join(body)}</main><footer>&copy; 2024</footer></body></html>"
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_text_lines_against_a_parser(seed):
+    page = real_page(random.Random(seed))
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    assert text_lines(page) == [x for x in (" ".join(line.split()) for line in reader.out) if x]
+
+
 def page(*lines):
     return "".join(f"<p>{x}</p>" for x in lines)
 

@@ -62,7 +62,7 @@ def test_coarse_bounds_spare_fine_ones_and_distances():
         for at in range(0, 2000, 100):
             s.see(x[at : at + 100], node[at : at + 100], np.zeros(100, bool), node[at : at + 100], node[at : at + 100])
         assert (s.id == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
-        assert s.looked[0] < 0.6 * 50 * 2000 and s.looked[1] < 0.1 * s.looked[0] and s.looked[2] < share * 50 * 2000
+        assert s.looked[0] < 0.6 * 50 * 2000 and s.looked[1] < 0.1 * 50 * 2000 and s.looked[2] < share * 50 * 2000, s.looked
 
 
 def test_tree_of_boxes_gives_all_near_blocks():
