@@ -89,10 +89,12 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: list =
     """
     scanner = Scanner(rules)
     blobs = versions.select(blob_id(text_col).alias("blob"), q(text_col).alias("text")).where("text is not null")
+    # blobs come together by hash, once; a very common one may be split over tasks and scanned once in each
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    # blobs come together by hash; a very common one may be split over tasks and scanned once in each
-    blobs = blobs.hint("rebalance", F.col("blob"))
+        listed = ledger.where(F.col("rule_version") == rule_version).select("blob").hint("merge")
+        blobs = blobs.join(listed, "blob", "left_anti")
+    else:
+        blobs = blobs.hint("rebalance", F.col("blob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
