@@ -17,7 +17,7 @@ from sparkloom.functions.exprs import col
 from sparkloom.functions.similarity import METHODS
 from sparkloom.operators.columns import need
 from sparkloom.operators.order import ORD, ordered
-from sparkloom.storage import stored
+from sparkloom.storage import forget, stored
 
 
 def score(a: Column, b: Column, method: str) -> Column:
@@ -84,7 +84,8 @@ def fuzzy_clean(df: DataFrame, column: str, new: str, threshold: float, method:
     need(df, [column])
     counts = df.where(col(column).isNotNull()).groupBy(col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     pairs = candidates(counts.select(F.col("v").alias("a")), counts.select(F.col("v").alias("b")), threshold, method, prefix).where("a < b").distinct()
-    scored = pairs.withColumn("s", score(F.col("a"), F.col("b"), method)).where(F.col("s") >= threshold).persist()
+    scored = pairs.withColumn("s", score(F.col("a"), F.col("b"), method)).where(F.col("s") >= threshold)
+    scored = stored(scored)
     roots = _clusters(scored)
     sums = scored.select(F.col("a").alias("v"), "s").unionByName(scored.select(F.col("b").alias("v"), "s")).groupBy("v").agg(F.sum("s").alias("total"), F.max("s").alias("top"))
     members = roots.join(counts, "v").join(sums, "v", "left").fillna(0.0, ["total", "top"])
@@ -116,14 +117,15 @@ def _clusters(edges: DataFrame) -> DataFrame:
             up[max(x, y)] = min(x, y)
         return edges.sparkSession.createDataFrame([(v, root(v)) for v in list(up)], "v string, root string")
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("v"), "root").persist()
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("v"), "root")
+    label = stored(label)
     while True:
         near = both.join(label, "v").groupBy("u").agg(F.min("root").alias("m"))
         step = label.join(near, label["v"] == near["u"], "left").select("v", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = step.alias("x").join(step.alias("y"), F.col("x.root") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.least(F.col("x.root"), F.coalesce(F.col("y.root"), F.col("x.root"))).alias("root"))
         jump = stored(jump)
         changed = jump.join(label.withColumnRenamed("root", "old"), "v").where("root <> old").limit(1).count()
-        label.unpersist()
+        forget(label)
         label = jump
         if not changed:
             return label

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,14 +69,55 @@ def set_geo(df: DataFrame, column: str, value: Column, like: str | None = None,
     return df.withColumn(column, value.alias(column, metadata={"crs": name} if name else {}))
 
 
+#: WKB of a point in little-endian order.
+_POINT = np.dtype([("order", "u1"), ("kind", "<u4"), ("x", "<f8"), ("y", "<f8")])
+
+
+def _coordinates(wkb: pd.Series) -> tuple[np.ndarray, np.ndarray] | None:
+    """x and y of points, NaN for nulls; None if there is something else among them."""
+    none = wkb.isna().to_numpy()
+    values = wkb.to_numpy()
+    if any(len(v) != 21 for v in values[~none]):
+        return None
+    raw = np.frombuffer(b"".join(values[~none]), _POINT)
+    if ((raw["order"] != 1) | (raw["kind"] != 1)).any():
+        return None
+    x, y = np.full(len(wkb), np.nan), np.full(len(wkb), np.nan)
+    x[~none], y[~none] = raw["x"], raw["y"]
+    return x, y
+
+
+def _as_points(x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> pd.Series:
+    out = np.zeros(len(x), _POINT)
+    out["order"], out["kind"], out["x"], out["y"] = 1, 1, x, y
+    raw, step = out.tobytes(), _POINT.itemsize
+    return pd.Series([raw[i * step : i * step + step] if ok else None for i, ok in enumerate(valid.tolist())], dtype=object)
+
+
 def points(df: DataFrame, lat: str, lon: str, new: str) -> DataFrame:
-    f = lambda y, x: G.to_wkb({"type": "Point", "coordinates": [float(x), float(y)]})
-    return set_geo(df, new, udf(f, "binary", col(lat).cast("double"), col(lon).cast("double")), crs="EPSG:4326")
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for y, x, ok in batches:
+            yield _as_points(x.to_numpy(float), y.to_numpy(float), ok.to_numpy(bool))
+
+    y, x = col(lat).cast("double"), col(lon).cast("double")
+    return set_geo(df, new, run(F.coalesce(y, F.lit(0.0)), F.coalesce(x, F.lit(0.0)), y.isNotNull() & x.isNotNull()), crs="EPSG:4326")
 
 
 def lat_lon(df: DataFrame, column: str, lat: str, lon: str) -> DataFrame:
-    at = lambda i: of(lambda g: float(g["coordinates"][i]) if g["type"] == "Point" and g["coordinates"] else None)
-    return df.withColumn(lat, udf(at(1), "double", col(column))).withColumn(lon, udf(at(0), "double", col(column)))
+    @F.pandas_udf("struct<x:double,y:double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for c in batches:
+            at = _coordinates(c)
+            if at is None:
+                xy = [(p["coordinates"][:2] if (p := G.from_wkb(w)) and p["type"] == "Point" and p["coordinates"] else (None, None)) if w is not None else (None, None) for w in c]
+                yield pd.DataFrame(xy, columns=["x", "y"]).astype(float)
+            else:
+                yield pd.DataFrame({"x": at[0], "y": at[1]})
+
+    out = df.withColumn("__xy", run(col(column)))
+    value = lambda n: F.when(~F.isnan(F.col("__xy")[n]), F.col("__xy")[n])
+    return out.withColumns({lat: value("y"), lon: value("x")}).drop("__xy")
 
 
 def is_valid(df: DataFrame, new: str, column: str | None = None) -> DataFrame:
@@ -105,7 +147,16 @@ def fix(df: DataFrame, column: str | None = None) -> DataFrame:
 
 
 def flip(df: DataFrame, column: str | None = None) -> DataFrame:
-    return changed(df, lambda g: G.mapped(g, lambda c: [c[1], c[0]]), column)
+    c = geo_column(df, column)
+    f = into(lambda g: G.mapped(g, lambda p: [p[1], p[0]]))
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            at = _coordinates(b)
+            yield pd.Series([None if v is None else f(v) for v in b], dtype=object) if at is None else _as_points(at[1], at[0], b.notna().to_numpy())
+
+    return set_geo(df, c, run(col(c)), like=c)
 
 
 def reduce_precision(df: DataFrame, decimals: int, column: str | None = None) -> DataFrame:
@@ -171,6 +222,20 @@ def distance(df: DataFrame, a: str, b: str, new: str, method: str = "srs", unit:
         raise ValueError("srs distances are in the projection's unit")
     k = _unit(unit or "m")
     f = _measure(method)
+    if method == "haversine":
+
+        @F.pandas_udf("double")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for p, q in batches:
+                s, t = _coordinates(p), _coordinates(q)
+                if s is None or t is None:
+                    raise ValueError("haversine distances are between points")
+                (x1, y1), (x2, y2) = np.radians(s), np.radians(t)
+                h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+                yield pd.Series(2 * G.RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1))) / k)
+
+        d = run(col(a), col(b))
+        return df.withColumn(new, rounded(F.when(~F.isnan(d), d), decimals))
     return df.withColumn(new, rounded(udf(of(lambda x, y: f(x, y) / k), "double", col(a), col(b)), decimals))
 
 
@@ -225,7 +290,17 @@ def unnest_geo(df: DataFrame, column: str | None = None) -> DataFrame:
 
 
 def _box(c: Column) -> Column:
-    return udf(of(lambda g: list(b) if (b := G.bounds(g)) else None), "array<double>", c)
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            at = _coordinates(b)
+            if at is None:
+                yield pd.Series([None if w is None or not (box := G.bounds(G.from_wkb(w))) else list(box) for w in b], dtype=object)
+            else:
+                four = np.stack([at[0], at[1], at[0], at[1]], axis=1)
+                yield pd.Series([row if ok else None for row, ok in zip(four, b.notna().tolist(), strict=True)], dtype=object)
+
+    return run(c)
 
 
 def bounding_box(df: DataFrame, column: str | None = None, decimals: int | None = None) -> DataFrame:
@@ -344,17 +419,23 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
 def read_geojson(spark: SparkSession, files: list[str]) -> DataFrame:
     """Features of collections, with their properties, in their order; features are parsed in parallel, one file a task."""
     text = spark.read.text(files, wholetext=True)
-    head = json.loads(text.first()[0]) if text.limit(1).count() else {"features": []}
-    keys: dict[str, Any] = {}
-    for f in head.get("features", [head]):
-        for k, v in (f.get("properties") or {}).items():
-            if keys.get(k) is None:
-                keys[k] = v
-    kinds = {k: "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string" for k, v in keys.items()}
-    for f in head.get("features", []):
-        for k, v in (f.get("properties") or {}).items():
-            if kinds.get(k) == "bigint" and isinstance(v, float):
-                kinds[k] = "double"
+
+    def properties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t, path in zip(b["value"], b["path"], strict=True):
+                d = json.loads(t)
+                found: dict[tuple[str, str], int] = {}
+                for f in d.get("features", [d]):
+                    for k, v in (f.get("properties") or {}).items():
+                        kind = "none" if v is None else "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
+                        found.setdefault((k, kind), len(found))
+                yield pd.DataFrame([(k, kind, path, at) for (k, kind), at in found.items()], columns=["k", "kind", "path", "at"])
+
+    # the properties of all files, in the order in which they appear: a row for each
+    seen = text.select("value", F.col("_metadata.file_path").alias("path")).mapInPandas(properties, "k string, kind string, path string, at int")
+    rows = seen.groupBy("k").agg(F.collect_set("kind").alias("kinds"), F.min(F.struct("path", "at")).alias("first")).orderBy("first").collect()
+    one = lambda ks: "string" if not ks else next(iter(ks)) if len(ks) == 1 else "double" if ks == {"bigint", "double"} else "string"
+    kinds = {r.k: one(set(r.kinds) - {"none"}) for r in rows}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -372,11 +453,10 @@ def read_geojson(spark: SparkSession, files: list[str]) -> DataFrame:
     return with_crs(ordered(text.mapInPandas(parse, schema)), "geom", "EPSG:4326")
 
 
-def to_geojson(df: DataFrame, column: str | None = None, *, rewind: bool = False, precision: int | None = None, metadata: dict | None = None, plain: Callable = lambda v: v) -> dict:
-    """A feature collection of all rows."""
+def features(df: DataFrame, column: str | None = None, *, rewind: bool = False, precision: int | None = None, plain: Callable = lambda v: v) -> Iterator[dict]:
+    """The rows as features, in their order; they come to the driver one partition at a time."""
     c = geo_column(df, column)
-    features = []
-    for row in df.orderBy(ORD).collect() if ORD in df.columns else df.collect():
+    for row in (df.orderBy(ORD) if ORD in df.columns else df).toLocalIterator():
         d = row.asDict()
         g = G.from_wkb(d.pop(c))
         d.pop(ORD, None)
@@ -384,9 +464,20 @@ def to_geojson(df: DataFrame, column: str | None = None, *, rewind: bool = False
             g = G.rewound(g)
         if g and precision is not None:
             g = G.mapped(g, lambda p: [round(p[0], precision), round(p[1], precision)])
-        features.append({"type": "Feature", "geometry": g, "properties": {k: plain(v) for k, v in d.items()}})
-    out = {"type": "FeatureCollection", "features": features}
-    return out | {"metadata": metadata} if metadata else out
+        yield {"type": "Feature", "geometry": g, "properties": {k: plain(v) for k, v in d.items()}}
+
+
+def to_geojson(df: DataFrame, column: str | None = None, *, rewind: bool = False) -> dict:
+    """A feature collection of all rows."""
+    return {"type": "FeatureCollection", "features": list(features(df, column, rewind=rewind))}
+
+
+def write_geojson(df: DataFrame, f: Any, *, rewind: bool = False, precision: int | None = None, metadata: dict | None = None, plain: Callable = lambda v: v) -> None:
+    """The feature collection of all rows, feature by feature."""
+    f.write('{"type": "FeatureCollection", "features": [')
+    for i, x in enumerate(features(df, rewind=rewind, precision=precision, plain=plain)):
+        f.write((", " if i else "") + json.dumps(x))
+    f.write("]" + (f', "metadata": {json.dumps(metadata)}' if metadata else "") + "}")
 
 
 def read_shp(path: str) -> list[G.Geometry | None]:

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from sparkloom.functions.exprs import col
 from sparkloom.functions.porter import stem
 from sparkloom.operators.columns import need
 from sparkloom.operators.strings import unaccented
+from sparkloom.storage import stored
 
 ENGLISH = """a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has
 have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so
@@ -26,18 +26,15 @@ STEMMERS = ("porter", "english", "none")
 
 @dataclass
 class TextIndex:
-    """The texts' terms (id, terms), and how texts become terms."""
+    """An inverted index: ``postings`` (doc, id, length, term, tf), stored in the order of terms, so that a query reads only the blocks of its own; the number of texts and their mean length."""
 
-    docs: DataFrame
+    postings: DataFrame
+    texts: int
+    mean: float
     id_col: str
     text_col: str
     options: dict = field(default_factory=dict)
 
-    @property
-    def postings(self) -> DataFrame:
-        """The inverted index: (id, term, tf)."""
-        return self.docs.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
 
 def terms(text: Column, stemmer: str = "porter", stopwords: str | list[str] = "english", ignore: str = r"(\.|[^a-z])+", strip_accents: bool = True, lower: bool = True) -> Column:
     """The terms of a text, as an array."""
@@ -61,29 +58,29 @@ def terms(text: Column, stemmer: str = "porter", stopwords: str | list[str] = "e
 
 
 def create_index(df: DataFrame, id_col: str, text_col: str, **options) -> TextIndex:
-    """An inverted index. Ids should be unique; null texts are not in it."""
+    """Tokenises all texts once and stores the index. Ids should be unique; null texts are not in it."""
     need(df, [id_col, text_col])
-    t = df.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), terms(col(text_col), **options).alias("terms"))
-    return TextIndex(t, id_col, text_col, options)
+    t = df.where(col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("doc"), col(id_col).alias("id"), terms(col(text_col), **options).alias("terms"))
+    # a text without terms has a posting of the term null, which counts it
+    flat = t.select("doc", "id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).groupBy("doc", "id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = stored(flat.repartitionByRange("term", "doc").sortWithinPartitions("term"))
+    texts, words = postings.agg(F.countDistinct("doc"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf")))).first()
+    return TextIndex(postings, texts, (words or 0) / texts if texts else 0.0, id_col, text_col, options)
 
 
 def bm25(df: DataFrame, index: TextIndex, text: str, k: int, k1: float = 1.2, b: float = 0.75, conjunctive: bool = False, min_score: float | None = None, score_column: str | None = None) -> DataFrame:
     """The k best rows for a query by Okapi BM25; ties by id. Only the query's terms are read from the index; ``conjunctive`` asks for all of them."""
-    spark = df.sparkSession
-    query = spark.createDataFrame([(text,)], "t string").select(F.explode(F.array_distinct(terms(F.col("t"), **index.options))).alias("term"))
+    query = df.sparkSession.createDataFrame([(text,)], "t string").select(F.explode(F.array_distinct(terms(F.col("t"), **index.options))).alias("term"))
     words = [r.term for r in query.collect()]
     name = score_column or "__score"
-    # one pass over the texts leaves an id and a few numbers of each; statistics and scores come from these
-    counts = [F.size("terms") - F.size(F.array_remove("terms", w)) for w in words]
-    seen = index.docs.select("id", F.size("terms").alias("length"), F.array(*counts, F.lit(0)).alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = seen.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(words))])
-    part = [
-        F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1) * F.col("tf")[i] * (k1 + 1) / (F.col("tf")[i] + k1 * (1 - b + b * F.col("length") / F.col("avg")))
-        for i in range(len(words))
-    ]
-    hits = F.size(F.filter("tf", lambda x: x > 0))
-    # the statistics are one row
-    scored = seen.where(hits >= (len(words) if conjunctive and words else 1)).crossJoin(F.broadcast(stats)).select("id", sum(part, F.lit(0.0)).alias(name))
+    hits = index.postings.where(F.col("term").isin(words))
+    # one row a term of the query
+    seen = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, mean = F.lit(float(index.texts)), F.lit(index.mean or 1.0)
+    part = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    scored = hits.join(F.broadcast(seen), "term").groupBy("doc", "id").agg(F.sum(part).alias(name), F.count(F.lit(1)).alias("__hits"))
+    if conjunctive:
+        scored = scored.where(F.col("__hits") >= len(words))
     if min_score is not None:
         scored = scored.where(col(name) >= min_score)
     best = scored.orderBy(col(name).desc(), "id").limit(k).select(F.col("id").alias("__id"), col(name))

@@ -610,3 +610,7 @@ def apply_in_pandas(t: Tables) -> Table:
 @query("SELECT r_regionkey, lower(r_name) AS r_name FROM region")
 def update_with_python(t: Tables) -> Table:
     return t.region.update_with_python(lambda data: [r | {"r_name": r["r_name"].lower()} for r in data]).convert({"r_regionkey": "integer"})
+
+
+# the rest of the queries; they take ``query`` and ``Tables`` from here
+from sparkloom.plans import inputs  # noqa: E402, F401

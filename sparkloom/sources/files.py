@@ -12,9 +12,11 @@ import os
 import re
 import sqlite3
 import zipfile
+from collections.abc import Iterator
 from typing import Any
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,35 +69,116 @@ def _head(path: str, n: int = 20, encoding: str = "utf-8") -> list[str]:
         return []
 
 
+_NATIVE = {"gzip": ".gz", "bz2": ".bz2"}
+
+
+def _unpacked(spark: SparkSession, files: list[str], compression: str) -> DataFrame:
+    """(value, filename): the lines of files that are compressed without saying so by their names, or in a way that Spark's reader of text does not know. A file a task."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import bz2
+        import gzip
+
+        def opened(raw: bytes) -> Any:
+            if compression == "gzip":
+                return gzip.GzipFile(fileobj=io.BytesIO(raw))
+            if compression == "bz2":
+                return bz2.BZ2File(io.BytesIO(raw))
+            import zstandard
+
+            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True)
+
+        for b in batches:
+            for path, raw in zip(b["path"], b["content"], strict=True):
+                held: list[str] = []
+                for i, line in enumerate(io.TextIOWrapper(opened(raw), encoding="utf-8", newline="\n")):
+                    held.append(line.rstrip("\r\n"))
+                    if len(held) == 10_000:
+                        yield pd.DataFrame({"value": held, "filename": path, "at": range(i + 1 - len(held), i + 1)})
+                        held = []
+                if held:
+                    yield pd.DataFrame({"value": held, "filename": path, "at": range(i + 1 - len(held), i + 1)})
+
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(lines, "value string, filename string, at long")
+
+
+def _lines_after(spark: SparkSession, files: list[str], skip: int) -> DataFrame:
+    """(value, filename): the lines of text files but for the first ``skip`` of each, which are counted where the file's first block is read; blank lines go."""
+    text = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("filename"), F.col("_metadata.file_block_start").alias("start"))
+
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            first = b["start"] == 0
+            place = b.groupby("filename").cumcount() + b["filename"].map(lambda f: seen.get(f, 0))
+            for f, n in b[first]["filename"].value_counts().items():
+                seen[f] = seen.get(f, 0) + int(n)
+            yield b[~(first & (place < skip))][["value", "filename"]]
+
+    return text.mapInPandas(drop, "value string, filename string").where("trim(value) <> ''")
+
+
+def has_quoted_breaks(spark: SparkSession, files: list[str]) -> bool:
+    """Whether some line has an odd number of quotes, so that a field goes over several lines: one parallel pass over the files."""
+    return not spark.read.text(files).where("(length(value) - length(replace(value, '\"', ''))) % 2 = 1").isEmpty()
+
+
 def load_csv(
     spark: SparkSession, files: list[str], *, header: bool = True, delim: str | None = None, skip: int = 0, all_text: bool = False, auto_detect: bool = True, types: dict[str, str] | None = None, columns: list[str] | None = None,
-    null_padding: bool = False, ignore_errors: bool = False, encoding: str | None = None, strict: bool = True, compression: str | None = None, file_name: bool = False,
+    null_padding: bool = False, ignore_errors: bool = False, encoding: str | None = None, strict: bool = True, compression: str | None = None, file_name: bool = False, multi_line: bool | None = None,
 ) -> DataFrame:
-    """Delimited text. Types are inferred unless ``all_text``; ``types`` sets some; rows that do not fit are an error unless ``ignore_errors`` (they go) or ``null_padding``."""
-    d = delim or sniff_delimiter(_head(files[0], 20 + skip)[skip:])
+    """Delimited text. Types are inferred unless ``all_text``; ``types`` sets some; rows that do not fit are an error unless ``ignore_errors`` (they go) or ``null_padding``.
+
+    Files are read in blocks by many tasks, unless fields hold line breaks (``multi_line``; if it is None, the files are looked through for them first). With ``skip``, or a ``compression``
+    that the name does not tell, fields can't hold line breaks.
+    """
+    if compression not in (None, "none", "auto", "gzip", "zstd", "bz2"):
+        raise ValueError(f"unknown compression {compression!r}")
+    packed = compression if compression in ("gzip", "zstd", "bz2") and not all(f.endswith(_NATIVE.get(compression, "\0")) for f in files) else None
+    if packed is None and files[0].endswith((".zst", ".zstd")):
+        packed = "zstd"
+    if packed:
+        unpacked = _unpacked(spark, files, packed)
+        head = [r.value for r in unpacked.where(F.col("at") < 20 + skip).orderBy("filename", "at").limit(20 + skip).collect()]
+    else:
+        head = _head(files[0], 20 + skip, encoding or "utf-8")
+    d = delim or sniff_delimiter(head[skip:])
     mode = "DROPMALFORMED" if ignore_errors else "PERMISSIVE" if null_padding or not strict else "FAILFAST"
-    reader = spark.read.option("sep", d).option("header", header).option("multiLine", True).option("escape", '"').option("mode", mode).option("nanValue", "NaN")
-    reader = reader.option("ignoreLeadingWhiteSpace", not all_text).option("ignoreTrailingWhiteSpace", not all_text).option("preferDate", True).option("timestampNTZFormat", "yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS][.SSS]['Z']")
-    if encoding:
-        reader = reader.option("encoding", encoding)
-    source: Any = files
-    if skip:
-        # lines before the header are dropped per file, by their place in it
-        text = spark.read.text(files, wholetext=True).withColumn("rest", F.array_join(F.slice(F.split("value", "\r?\n"), skip + 1, 2**31 - 1), "\n"))
-        rows = [r.rest for r in text.select("rest").collect()]
-        source = spark.sparkContext.parallelize([line for i, t in enumerate(rows) for line in (t.split("\n")[1:] if i and header else t.split("\n")) if line.strip()], 1)
-        reader = reader.option("multiLine", False)
-    if all_text or not auto_detect:
-        df = reader.option("inferSchema", False).csv(source)
+    options = {
+        "sep": d, "escape": '"', "mode": mode, "nanValue": "NaN", "ignoreLeadingWhiteSpace": str(not all_text).lower(), "ignoreTrailingWhiteSpace": str(not all_text).lower(), "preferDate": "true",
+        "timestampNTZFormat": "yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS][.SSS]['Z']",
+    }
+    infer_types = not (all_text or not auto_detect)
+    reader = spark.read.options(**options).option("inferSchema", infer_types)
+    if skip or packed:
+        n = skip + (1 if header else 0)
+        lines = unpacked.where((F.col("at") >= n) & (F.trim("value") != "")).select("value", "filename") if packed else _lines_after(spark, files, n)
+        schema = reader.option("header", False).csv(lines.select("value").rdd.map(lambda r: r[0])).schema
+        names = next(csv.reader([head[skip]], delimiter=d)) if header and len(head) > skip else schema.fieldNames()
+        names = [x if all_text else x.strip() for x in names]
+        schema = T.StructType([T.StructField(x, schema[i].dataType if i < len(schema) else T.StringType()) for i, x in enumerate(names)])
+        # rows are parsed where they lie, beside the name of their file
+        parse = {**options, "mode": "PERMISSIVE" if mode == "DROPMALFORMED" else mode}
+        read = lines.select(F.from_csv("value", _ddl(schema), parse).alias("r"), "filename").where("r is not null")
+        df = read.select(*[F.col("r")[x].alias(x) for x in names], *(["filename"] if file_name else []))
     else:
-        df = reader.option("inferSchema", True).csv(source)
+        many = has_quoted_breaks(spark, files) if multi_line is None else multi_line
+        reader = reader.option("header", header).option("multiLine", many)
+        if encoding:
+            reader = reader.option("encoding", encoding)
+        df = reader.csv(files)
+        if file_name:
+            df = df.withColumn("filename", F.input_file_name())
+    if infer_types:
         # whole numbers are 64 bits wide, as in other sources
         df = df.select(*[col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, T.IntegerType) else col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else col(f.name) for f in df.schema])
     if types:
         df = df.withColumns({c: col(c).cast(spark_type(t)) for c, t in types.items()})
-    if file_name and not skip:
-        df = df.withColumn("filename", F.input_file_name())
-    return df.select(*[col(c) for c in columns]) if columns else df
+    return df.select(*[col(c) for c in columns], *([F.col("filename")] if file_name and "filename" not in columns else [])) if columns else df
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in schema)
 
 
 def _key_order(path: str) -> list[str]:
@@ -114,8 +197,10 @@ def _key_order(path: str) -> list[str]:
     return list(order)
 
 
-def load_json(spark: SparkSession, files: list[str], *, json_format: str | None = None, columns: list[str] | None = None, file_name: bool = False) -> DataFrame:
-    """Arrays of objects or an object a line; columns in the order in which the keys appear."""
+def load_json(spark: SparkSession, files: list[str], *, json_format: str | None = None, records: bool | str = "auto", columns: list[str] | None = None, file_name: bool = False) -> DataFrame:
+    """Arrays of objects or an object a line; columns in the order in which the keys appear. Without ``records`` each object is one text in the column ``json``."""
+    if json_format not in (None, "unstructured", "newlineDelimited", "array"):
+        raise ValueError(f"unknown format {json_format!r}")
     head = "".join(_head(files[0], 5)).lstrip()
     many = json_format == "array" or (json_format in (None, "unstructured") and head.startswith("["))
     df = spark.read.option("multiLine", many).json(files)
@@ -123,6 +208,9 @@ def load_json(spark: SparkSession, files: list[str], *, json_format: str | None
     df = df.select(*[col(c) for c in order], *[col(c) for c in df.columns if c not in order])
     if file_name:
         df = df.withColumn("filename", F.input_file_name())
+    if records is False or records == "false":
+        names = [c for c in df.columns if not (file_name and c == "filename")]
+        df = df.select(F.to_json(F.struct(*[col(c) for c in names]), {"ignoreNullFields": "false"}).alias("json"), *(["filename"] if file_name else []))
     return df.select(*[col(c) for c in columns]) if columns else df
 
 
@@ -186,10 +274,11 @@ def load_excel(spark: SparkSession, path: str, *, sheet: str | None = None, head
 
 
 def infer(values: list[Any]) -> T.DataType:
-    """The type of a column of Python values, from the first one that is not null; numbers are doubles."""
-    for v in values:
-        if v is None or (isinstance(v, float) and v != v):
-            continue
+    """The type of a column of Python values, from the first one that is not null; numbers are doubles. Texts among values of another kind make it a column of texts."""
+    known = [v for v in values if v is not None and not (isinstance(v, float) and v != v)]
+    if any(isinstance(v, str) for v in known):
+        return T.StringType()
+    for v in known:
         if isinstance(v, bool):
             return T.BooleanType()
         if isinstance(v, (int, float, decimal.Decimal)):
@@ -246,19 +335,31 @@ def load_sqlite(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+_OPTIONS = {
+    "csv": {"header", "delim", "skip", "all_text", "auto_detect", "types", "columns", "null_padding", "ignore_errors", "encoding", "strict", "compression", "file_name", "multi_line"}, "json": {"json_format", "records", "columns", "file_name"},
+    "parquet": {"columns", "file_name"}, "excel": {"header", "all_text", "columns"},
+}
+
+
+def _check_options(kind: str, options: dict[str, Any]) -> None:
+    name = "csv" if kind in ("csv", "dsv") else kind
+    if name in _OPTIONS and (unknown := sorted(set(options) - _OPTIONS[name])):
+        raise ValueError(f"{kind} files have no options {unknown}; there are {sorted(_OPTIONS[name])}")
+
+
 def load(spark: SparkSession, files: str | list[str], *, file_type: str | None = None, limit: int | None = None, unify: bool = False, sheet: str | None = None, **options: Any) -> DataFrame:
     """Files of one type as one table in the order of their rows; ``unify`` fills columns that some files lack with nulls."""
     paths = listed(files)
     kind = kind_of(paths[0], file_type, options.get("delim"))
+    _check_options(kind, options)
     if kind == "excel":
         if len(paths) != 1 or options.get("columns"):
             raise ValueError("one Excel file at a time, with all its columns")
         return load_excel(spark, paths[0], sheet=sheet, header=options.get("header", True), all_text=options.get("all_text", False))
-    known = {"csv": ("header", "delim", "skip", "all_text", "auto_detect", "types", "columns", "null_padding", "ignore_errors", "encoding", "strict", "compression", "file_name"), "json": ("json_format", "columns", "file_name"), "parquet": ("columns", "file_name")}
     name = "csv" if kind in ("csv", "dsv") else kind
-    if name not in known:
+    if name not in _OPTIONS:
         raise ValueError(f"{kind} files are loaded by load_geo_data")
-    args = {k: v for k, v in options.items() if k in known[name]}
+    args = dict(options)
     reader = {"csv": load_csv, "json": load_json, "parquet": load_parquet}[name]
     if name == "parquet":
         df = load_parquet(spark, paths, unify=unify, **args)

@@ -166,7 +166,7 @@ class Table(CamelCase):
             raise ValueError("GeoJSON is not compressed")
         df = sinks._iso(self.ordered_df) if format_dates else self.ordered_df
         with open(path, "w") as f:
-            json.dump(geo.to_geojson(df, rewind=rewind, precision=precision, metadata=metadata, plain=sinks._plain), f)
+            geo.write_geojson(df, f, rewind=rewind, precision=precision, metadata=metadata, plain=sinks._plain)
         return path
 
     # ---- tables
@@ -440,8 +440,10 @@ class Table(CamelCase):
     # ---- search
 
     def create_fts_index(self, id_column: str, text_column: str, *, overwrite: bool = False, **options: Any) -> Table:
+        """Builds and stores the index, unless there is one with these options. It is of the rows the table has now."""
         key = f"fts_{_columns.camel(text_column)}"
-        if key not in self.indexes or overwrite:
+        old = self.indexes.get(key)
+        if overwrite or old is None or (old.id_col, old.text_col, old.options) != (id_column, text_column, options):
             self.indexes[key] = search.create_index(self.df, id_column, text_column, **options)
         return self
 
