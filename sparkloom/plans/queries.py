@@ -383,11 +383,12 @@ def bins(t: Tables) -> Table:
 
 
 def _customers(t: Tables) -> tuple[Table, Table]:
-    c = t.customer.select_columns(["c_custkey", "c_mktsegment"]).rename_columns({"c_custkey": "custkey"}).filter("custkey % 3 != 0")
-    return t.orders.select_columns(["o_orderkey", "o_custkey"]).rename_columns({"o_custkey": "custkey"}).filter("custkey % 5 != 0"), c
+    """Whole tables; the keys of some rows become ones that the other side lacks."""
+    c = t.customer.select_columns(["c_custkey", "c_mktsegment"]).rename_columns({"c_custkey": "custkey"}).update_column("custkey", "CASE WHEN custkey % 3 = 0 THEN -2 * custkey - 1 ELSE custkey END")
+    return t.orders.select_columns(["o_orderkey", "o_custkey"]).rename_columns({"o_custkey": "custkey"}).update_column("custkey", "CASE WHEN custkey % 5 = 0 THEN -2 * custkey ELSE custkey END"), c
 
 
-_JOIN = "SELECT o_orderkey, o.custkey AS custkey, c_mktsegment FROM (SELECT o_orderkey, o_custkey AS custkey FROM orders WHERE o_custkey % 5 <> 0) o {} JOIN (SELECT c_custkey AS custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0) c ON o.custkey = c.custkey"
+_JOIN = "SELECT o_orderkey, o.custkey AS custkey, c_mktsegment FROM (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN -2 * o_custkey ELSE o_custkey END AS custkey FROM orders) o {} JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -2 * c_custkey - 1 ELSE c_custkey END AS custkey, c_mktsegment FROM customer) c ON o.custkey = c.custkey"
 
 
 @query(_JOIN.format("INNER"))
@@ -414,39 +415,6 @@ def join_full(t: Tables) -> Table:
     return o.join(c, common_column="custkey", type="full")
 
 
-def _all_customers(t: Tables) -> tuple[Table, Table]:
-    """Whole tables; the keys of some rows become ones that the other side lacks."""
-    c = t.customer.select_columns(["c_custkey", "c_mktsegment"]).rename_columns({"c_custkey": "custkey"}).update_column("custkey", "CASE WHEN custkey % 3 = 0 THEN -2 * custkey - 1 ELSE custkey END")
-    return t.orders.select_columns(["o_orderkey", "o_custkey"]).rename_columns({"o_custkey": "custkey"}).update_column("custkey", "CASE WHEN custkey % 5 = 0 THEN -2 * custkey ELSE custkey END"), c
-
-
-_JOIN_ALL = "SELECT o_orderkey, o.custkey AS custkey, c_mktsegment FROM (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN -2 * o_custkey ELSE o_custkey END AS custkey FROM orders) o {} JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -2 * c_custkey - 1 ELSE c_custkey END AS custkey, c_mktsegment FROM customer) c ON o.custkey = c.custkey"
-
-
-@query(_JOIN_ALL.format("INNER"))
-def join_inner_all(t: Tables) -> Table:
-    o, c = _all_customers(t)
-    return o.join(c, type="inner")
-
-
-@query(_JOIN_ALL.format("LEFT"))
-def join_left_all(t: Tables) -> Table:
-    o, c = _all_customers(t)
-    return o.join(c)
-
-
-@query(_JOIN_ALL.format("RIGHT"))
-def join_right_all(t: Tables) -> Table:
-    o, c = _all_customers(t)
-    return o.join(c, type="right")
-
-
-@query(_JOIN_ALL.format("FULL"))
-def join_full_all(t: Tables) -> Table:
-    o, c = _all_customers(t)
-    return o.join(c, common_column="custkey", type="full")
-
-
 @query("SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def join_chain(t: Tables) -> DataFrame:
     o = t.orders.rename_columns({"o_custkey": "c_custkey"}).join(t.customer, type="inner").rename_columns({"c_nationkey": "n_nationkey"}).join(t.nation, type="inner")
@@ -553,18 +521,126 @@ def cosine_topk(t: Tables) -> Table:
     return t.embeddings.nearest("embedding", _VECTOR, 10).select_columns(["vec_id", "similarity"]).round("similarity", decimals=6)
 
 
-@query()
+def _lcs(a: str, b: str) -> str:
+    """SQL for the length of the longest common subsequence: a row of the table of cells for each character of the first text."""
+    masks = f"list_transform(string_split({a}, ''), lambda c: list_transform(string_split({b}, ''), lambda x: CASE WHEN x = c THEN 1 ELSE 0 END))"
+    cell = "greatest(s[i + 1], CASE WHEN m[i] = 1 THEN s[i] + 1 ELSE 0 END)"
+    row = f"list_concat([0], list_transform(range(1, len(s)), lambda j: list_max(list_transform(range(1, j + 1), lambda i: {cell}))))"
+    return f"list_reduce(list_concat([list_transform(range(length({b}) + 1), lambda z: 0)], {masks}), lambda s, m: {row})[-1]"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"200.0::DOUBLE * {_lcs(a, b)} / (length({a}) + length({b}))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT p_name AS v, count(*) AS n FROM part GROUP BY p_name), p AS MATERIALIZED (SELECT * FROM (SELECT x.v AS a, y.v AS b, {_ratio("x.v", "y.v")} AS s FROM c x JOIN c y ON x.v < y.v) WHERE s >= 75),
+e AS (SELECT a, b, s FROM p UNION ALL SELECT b, a, s FROM p), r AS (SELECT v, v AS o FROM c UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.o), g AS (SELECT v, min(o) AS root FROM r GROUP BY v),
+t AS (SELECT a AS v, sum(s) AS total FROM e GROUP BY a), f AS (SELECT g.v, first_value(g.v) OVER (PARTITION BY root ORDER BY n DESC, coalesce(total, 0) DESC, g.v) AS clean FROM g JOIN c USING (v) LEFT JOIN t USING (v))
+SELECT p_partkey, p_name, clean FROM part JOIN f ON p_name = v""")
 def fuzzy_clean(t: Tables) -> Table:
     return t.part.select_columns(["p_partkey", "p_name"]).fuzzy_clean("p_name", "clean", 75)
 
 
-@query()
+@query(f"WITH p AS (SELECT DISTINCT p_name FROM part), s AS (SELECT a.p_name, b.p_name || 's' AS other, round({_ratio('a.p_name', "(b.p_name || 's')")}, 2) AS score FROM p a, p b) SELECT p.p_name, s.other, s.score FROM p LEFT JOIN s ON s.p_name = p.p_name AND s.score >= 90")
 def fuzzy_join(t: Tables) -> Table:
     p = t.part.select_columns("p_name").remove_duplicates()
     q = p.clone_table().rename_columns({"p_name": "other"}).update_column("other", "concat(other, 's')")
     return p.fuzzy_join(q, "p_name", "other", 90, similarity_column="score")
 
 
+_SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+
+
+@query(f"WITH p AS (SELECT DISTINCT p_name, {_SORTED.format('p_name')} AS k FROM part), s AS (SELECT a.p_name, b.p_name AS other, round({_ratio('a.k', 'b.k')}, 2) AS score FROM p a, p b) SELECT p.p_name, s.other, s.score FROM p LEFT JOIN s ON s.p_name = p.p_name AND s.score >= 80")
+def fuzzy_join_tokens(t: Tables) -> Table:
+    """The words of the other side are turned round; sorted they are the same."""
+    p = t.part.select_columns("p_name").remove_duplicates()
+    q = p.clone_table().rename_columns({"p_name": "name"}).add_column("other", "string", "concat(split_part(name, ' ', 2), ' ', split_part(name, ' ', 1))")
+    out = p.fuzzy_join(q.select_columns("other"), "p_name", "other", 80, method="token_sort_ratio", similarity_column="score")
+    return out.update_column("other", "concat(split_part(other, ' ', 2), ' ', split_part(other, ' ', 1))")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(strip_accents(text)), '(\\.|[^a-z])+', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS term FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS id, term, count(*) AS tf FROM w WHERE term IN ('apache', 'licensed', 'the', 'password') GROUP BY ALL""")
+def text_index(t: Tables) -> DataFrame:
+    d = t.documents.create_fts_index("doc_id", "text", stemmer="none", stopwords="none")
+    return d.indexes["fts_text"].postings.where(F.col("term").isin("apache", "licensed", "the", "password")).select("id", "term", "tf")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n FROM events")
+def json_functions(t: Tables) -> DataFrame:
+    t.named("events")
+    return t.session.sql("SELECT event_id, get_json_object(props, '$.k') AS k, cast(size(json_object_keys(props)) AS bigint) AS n FROM events")
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 300000")
+def map_in_pandas(t: Tables) -> Table:
+    def f(batches: Any) -> Any:
+        for b in batches:
+            b = b[b["o_totalprice"] > 300000]
+            yield b.assign(twice=b["o_totalprice"] * 2)[["o_orderkey", "twice"]]
+
+    return t.orders.select_columns(["o_orderkey", "o_totalprice"]).map_in_pandas(f, "o_orderkey long, twice double")
+
+
+# ---- whole tables in an order of their own, with all columns
+
+
+_BY_PRICE = "ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate"
+
+
+def _by_price(t: Tables) -> Table:
+    return t.lineitem.sort({"l_extendedprice": "desc", **dict.fromkeys(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"], "asc")})
+
+
+@query(f"SELECT *, row_number() OVER ({_BY_PRICE}) - 1 AS place FROM lineitem")
+def sorted_numbers(t: Tables) -> Table:
+    return _by_price(t).add_row_number("place")
+
+
+@query(f"SELECT *, sum(l_quantity) OVER ({_BY_PRICE} ROWS UNBOUNDED PRECEDING) AS total FROM lineitem")
+def sorted_accumulate(t: Tables) -> Table:
+    return _by_price(t).accumulate("l_quantity", "total")
+
+
+@query(f"SELECT *, ntile(12) OVER ({_BY_PRICE.replace('l_extendedprice DESC', 'l_quantity, l_extendedprice DESC')}) AS q FROM lineitem")
+def sorted_quantiles(t: Tables) -> Table:
+    return _by_price(t).quantiles("l_quantity", 12, "q")
+
+
+@query(f"SELECT *, CASE WHEN count(l_quantity) OVER w = 6 THEN sum(l_quantity) OVER w END AS r FROM lineitem WINDOW w AS ({_BY_PRICE} ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING)")
+def sorted_rolling(t: Tables) -> Table:
+    return _by_price(t).rolling("l_quantity", "r", "sum", 2, 3)
+
+
+@query(f"SELECT *, lead(l_shipdate, 2) OVER ({_BY_PRICE}) AS later FROM lineitem")
+def sorted_lead(t: Tables) -> Table:
+    return _by_price(t).clone_column_with_offset("l_shipdate", "later", offset=2)
+
+
+@query(f"SELECT * EXCLUDE (gap), last_value(gap IGNORE NULLS) OVER ({_BY_PRICE} ROWS UNBOUNDED PRECEDING) AS gap FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN l_tax END AS gap FROM lineitem)")
+def sorted_fill(t: Tables) -> Table:
+    return t.lineitem.add_column("gap", "double", "CASE WHEN l_orderkey % 3 = 0 THEN l_tax END").sort({"l_extendedprice": "desc", **dict.fromkeys(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"], "asc")}).fill("gap")
+
+
+@query(f"SELECT * FROM lineitem {_BY_PRICE} OFFSET 1000")
+def sorted_skip(t: Tables) -> Table:
+    return _by_price(t).skip(1000)
+
+
+@query("""WITH b AS (SELECT ts, max(event_id) AS seen FROM events WHERE event_type = 'click' GROUP BY ts), a AS (SELECT * FROM orders) SELECT a.*, b.seen FROM a ASOF LEFT JOIN b ON a.o_orderdate >= b.ts""")
+def as_of_join_whole(t: Tables) -> DataFrame:
+    clicks = t.events.filter("event_type = 'click'").df.groupBy("ts").agg(F.max("event_id").alias("seen"))
+    right = t.session.new_table().set_df(clicks.withColumnRenamed("ts", "o_orderdate"))
+    return t.orders.as_of_join(right, "o_orderdate").df
+
+
+@query("SELECT o_orderkey, CASE WHEN v <= a + 0.4 + 1e-9 THEN '[' || regexp_replace(printf('%.1f', a), '[.]0$', '') || '-' || regexp_replace(printf('%.1f', a + 0.4), '[.]0$', '') || ']' END AS bin FROM (SELECT *, floor(v / 0.5 + 1e-9) * 0.5 AS a FROM (SELECT o_orderkey, round(o_totalprice / 1000, 2) AS v FROM orders))")
+def bins_decimals(t: Tables) -> Table:
+    """Bins of half a thousand; what lies between the last tenth of one and the next one has none."""
+    return t.orders.add_column("v", "double", "round(o_totalprice / 1000, 2)").bins("v", 0.5, "bin", start_value=0).select_columns(["o_orderkey", "bin"])
+
+
 # ---- geometry
 
 
@@ -613,4 +689,4 @@ def update_with_python(t: Tables) -> Table:
 
 
 # the rest of the queries; they take ``query`` and ``Tables`` from here
-from sparkloom.plans import inputs  # noqa: E402, F401
+from sparkloom.plans import geometry, inputs  # noqa: E402, F401

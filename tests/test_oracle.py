@@ -27,7 +27,7 @@ def test_runs(spark, con, name):
 
 def test_joins_cover_whole_tables(spark, con):
     orders, customers = (con.execute(f"SELECT count(*) FROM {x}").fetchone()[0] for x in ("orders", "customer"))
-    left, right, full = (queries.QUERIES[f"join_{x}_all"](spark, SF).collect() for x in ("left", "right", "full"))
+    left, right, full = (queries.QUERIES[f"join_{x}"](spark, SF).collect() for x in ("left", "right", "full"))
     assert len(left) == orders and any(x.c_mktsegment is None for x in left)
     alone = sum(x.o_orderkey is None for x in right)
     assert 0 < alone < customers and len(full) == orders + alone
