@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.exprs import TEMPORAL, col, is_numeric, listed, rounded, sample_skewness
-from sparkloom.operators.order import visible
+from sparkloom.operators.order import row_by_row, visible
 
 STATISTICS = ("count", "countUnique", "countNull", "min", "max", "mean", "median", "sum", "skew", "stdDev", "var")
 
@@ -70,8 +70,7 @@ def summarize(
         return out.orderBy(*[col(c).asc_nulls_last() for c in cats]) if cats else out
     if any(isinstance(k, TEMPORAL) for k in kinds.values()) and any(is_numeric(k) for k in kinds.values()) and {"min", "max", "median"} & set(stats.values()):
         raise ValueError("dates and numbers can't be summarised in one column; use to_ms or separate calls")
-    aggs = [statistic(c, s, kinds[c]).alias(f"__{i}_{j}") for i, c in enumerate(names) for j, s in enumerate(stats.values())]
-    wide = df.groupBy(*[col(c) for c in cats]).agg(*aggs)
+    wide = _wide(df, cats, names, list(stats.values()), kinds)
     fields = []
     for j, (new, s) in enumerate(stats.items()):
         of = [wide.schema[f"__{i}_{j}"].dataType for i, c in enumerate(names)]
@@ -86,6 +85,33 @@ def summarize(
     return out.drop("value") if no_value_column else out
 
 
+def _wide(df: DataFrame, cats: list[str], names: list[str], stats: list[str], kinds: dict[str, T.DataType]) -> DataFrame:
+    """One row a group, with the j-th statistic of the i-th column as ``__i_j``.
+
+    Distinct values and medians of a table that is read straight from its files come from counts of the values, column by column: each is a scan of one column, whose
+    partial counts are small, instead of one expansion of all rows by all columns. A plan that is not cheap to repeat is aggregated in one pass.
+    """
+    groups = [col(c) for c in cats]
+    by_count = {(i, j) for i, c in enumerate(names) for j, s in enumerate(stats) if s == "countUnique" or (s == "median" and (is_numeric(kinds[c]) or isinstance(kinds[c], TEMPORAL)))} if row_by_row(df) else set()
+    simple = [statistic(c, s, kinds[c]).alias(f"__{i}_{j}") for i, c in enumerate(names) for j, s in enumerate(stats) if (i, j) not in by_count]
+    out = df.groupBy(*groups).agg(*(simple or [F.count(F.lit(1)).alias("__all")]))
+    for i, c in enumerate(names):
+        wanted = [j for j in range(len(stats)) if (i, j) in by_count]
+        if not wanted:
+            continue
+        counts = df.groupBy(*groups, col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+        v = F.unix_micros(F.col("__v").cast("timestamp")) if isinstance(kinds[c], TEMPORAL) else F.col("__v").cast("double")
+        middle = F.percentile(v, 0.5, F.col("__c"))
+        middle = F.timestamp_micros(middle.cast("bigint")).cast("timestamp_ntz") if isinstance(kinds[c], TEMPORAL) else middle
+        found = counts.groupBy(*groups).agg(*[(F.count("__v").cast("int") if stats[j] == "countUnique" else middle).alias(f"__{i}_{j}") for j in wanted])
+        keys = [f"__k{n}" for n in range(len(cats))]
+        found = found.select(*[col(k).alias(n) for k, n in zip(cats, keys, strict=True)], *[f"__{i}_{j}" for j in wanted])
+        # the same groups on both sides; without categories both have one row
+        same = [col(k).eqNullSafe(F.col(n)) for k, n in zip(cats, keys, strict=True)] or [F.lit(True)]
+        out = out.join(found, same, "inner").drop(*keys)
+    return out
+
+
 def numeric_columns(df: DataFrame, without: list[str]) -> list[str]:
     return [c for c in visible(df) if is_numeric(df.schema[c].dataType) and c not in without]
 

@@ -41,9 +41,14 @@ def _row_by_row(plan) -> bool:
     return all(_row_by_row(kids.apply(i)) for i in range(kids.size()))
 
 
+def row_by_row(df: DataFrame) -> bool:
+    """Whether the plan only reads and works row by row: no shuffle, nothing that depends on the order in which rows arrive."""
+    return _row_by_row(df._jdf.queryExecution().analyzed())
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Rows that can be read twice: as they are where the plan gives the same numbers each time, else stored in the shared folder (this runs the plan)."""
-    return df if _row_by_row(df._jdf.queryExecution().analyzed()) else stored(df)
+    return df if row_by_row(df) else stored(df)
 
 
 def visible(df: DataFrame) -> list[str]:
