@@ -45,10 +45,10 @@ def shares(cells: DataFrame, targets: dict[str, float | dict], weight: str) -> l
 
 
 def _with_values(df: DataFrame, name: str, levels: list, values: list, kind: str, new: str) -> DataFrame:
-    """A column with the value of the row's level in ``name``, null if it is none of ``levels``: a join with the table of levels, which Spark sends to the tasks if it is small."""
+    """A column with the value of the row's level in ``name``, null if it is none of ``levels``: a join with the table of levels. That is stored, so that its size is known: if it is small, Spark sends it to the tasks and the rows stay where they are."""
     level = fresh(df, "loom_level")
     schema = T.StructType([T.StructField(level, df.schema[name].dataType), T.StructField(new, T.DoubleType() if kind == "double" else T.IntegerType())])
-    table = df.sparkSession.createDataFrame(list(zip(levels, values, strict=True)), schema)
+    table = durable(df.sparkSession.createDataFrame(list(zip(levels, values, strict=True)), schema).coalesce(1))
     return df.join(table, q(name).eqNullSafe(q(level)), "left").drop(level)
 
 
