@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import fresh, q
+from sparkloom.llm._common import durable, fresh, q
 
 #: (rule, words of which a text must have one, pattern whose group ``s`` is the secret, least bits a character).
 RULES: list[tuple[str, tuple[str, ...], str, float]] = [
@@ -137,6 +137,8 @@ def redact_secrets(docs: DataFrame, ledger: DataFrame, by: str = REDACTED, rule_
     names = [*docs.columns]
     at = [c.lower() for c in names].index(text_col.lower())
     hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias("loom__b"), F.col("findings").alias(found)).dropDuplicates(["loom__b"])
+    # stored, so that its size is known before the join is planned
+    hits = durable(hits)
     marked = docs.withColumn(key, blob_id(text_col)).join(hits, q(key) == F.col("loom__b"), "left").select(*[q(c) for c in names], q(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
