@@ -192,3 +192,48 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) ->
         count = t.num_rows - at
     if count:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def cut_words(docs: DataFrame, spans: DataFrame, mask: np.ndarray, id_col: str, text_col: str, size_col: str) -> DataFrame:
+    """The documents without the words of ``spans`` (key, doc_id, s, e: words that ``mask`` makes), what stands around a span joined by one blank; ``size_col`` is set anew.
+
+    A document of which nothing but white space is left goes, all others stay with all columns; rows alike are cut alike.
+    """
+    k, found = fresh(docs, "loom_key"), fresh(docs, "loom_spans")
+    names = list(docs.columns)
+    at = [c.lower() for c in names].index(text_col.lower())
+    grouped_ = stored(spans.groupBy("key", "doc_id").agg(F.collect_list(F.struct("s", "e")).alias(found)).withColumnsRenamed({"key": "loom__k", "doc_id": "loom__i"}))
+    same = (q(k) == F.col("loom__k")) & q(id_col).cast("long").eqNullSafe(F.col("loom__i"))
+    marked = docs.withColumn(k, row_key(id_col, text_col)).join(grouped_, same, "left").select(*[q(c) for c in names], q(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns)[: len(names)]
+            hit = b.column(len(names))
+            keep = np.ones(b.num_rows, bool)
+            change: dict[int, str] = {}
+            for i in np.flatnonzero(np.asarray(hit.is_valid())).tolist():
+                raw = cols[at][i].as_py().encode()
+                st, en, _, _ = split_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), mask)
+                parts, here = [], 0
+                for x in sorted(hit[i].as_py(), key=lambda x: (x["s"], x["e"])):
+                    s, e = int(st[x["s"]]), int(en[x["e"] - 1])
+                    if s > here:
+                        parts.append(raw[here:s])
+                    here = max(here, e)
+                text = b" ".join(x for p in [*parts, raw[here:]] if (x := p.strip(b" "))).strip().decode()
+                change[i], keep[i] = text, bool(text)
+            if change:
+                texts = cols[at].to_pylist()
+                for i, t in change.items():
+                    texts[i] = t
+                cols[at] = pa.array(texts, cols[at].type)
+                for j, c in enumerate(names):
+                    if c.lower() == size_col.lower() and pa.types.is_integer(cols[j].type):
+                        sizes = cols[j].to_pylist()
+                        for i, t in change.items():
+                            sizes[i] = len(t)
+                        cols[j] = pa.array(sizes, cols[j].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([b.schema.field(j) for j in range(len(names))])).filter(pa.array(keep))
+
+    return marked.mapInArrow(run, docs.schema)

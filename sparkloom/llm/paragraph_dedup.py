@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._buckets import BLOCK, links
-from sparkloom.llm._common import WORD_BYTE, durable, grams, hash_words, in_arrow, mix, q, row_key, row_of, split_words, text_chunks, window_extreme
+from sparkloom.llm._common import WORD_BYTE, cut_words, durable, grams, hash_words, in_arrow, mix, q, row_key, row_of, split_words, text_chunks, window_extreme
 from sparkloom.llm._graph import components
 from sparkloom.llm._minhash import Hasher, band_hashes, shingles
 
@@ -204,6 +204,21 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     Null and empty texts have no paragraphs. Copies within one document count. Rows alike in doc_id and text are one document. Texts are read whole, however long.
     An empty table gives an empty result; other columns are not read.
     """
+    found = _copies(docs, min_words, threshold, shingle, bands, width, reach, piece_words, id_col, text_col, block)
+    return found.drop("key")
+
+
+def drop_duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, reach: int = REACH, piece_words: int = PIECE_WORDS, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", block: int = BLOCK) -> DataFrame:
+    """The documents without the paragraphs that are ``removed``, with all columns; ``size_col``, where there is one, is set anew for texts that change.
+
+    A document of which nothing but white space is left goes; null and empty texts stay; rows alike are cut alike; texts are read whole, however long. An empty table stays empty.
+    """
+    found = _copies(docs, min_words, threshold, shingle, bands, width, reach, piece_words, id_col, text_col, block).where("removed")
+    spans = found.select("key", "doc_id", F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))
+    return cut_words(docs, spans, WORD_BYTE, id_col, text_col, size_col)
+
+
+def _copies(docs: DataFrame, min_words: int, threshold: float, shingle: int, bands: int, width: int, reach: int, piece_words: int, id_col: str, text_col: str, block: int) -> DataFrame:
     d = docs.select(row_key(id_col, text_col).alias("key"), q(id_col).cast("long").alias("doc_id"), q(text_col).alias("text")).where("text is not null")
     # one pass over the texts; all that follows reads this table, which has no texts
     units = durable(in_arrow(_units(min_words, threshold, shingle, bands, width, reach, piece_words), d, _UNITS))
@@ -229,4 +244,4 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold:
     best = named.groupBy("line", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("best")).where("n > 1").drop("n")
     removed = ~((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("paragraph") == F.col("best.paragraph")))
     kind = F.when(F.col("line"), "line").otherwise("piece")
-    return named.join(best, ["line", "cluster"]).select("doc_id", kind.alias("kind"), "paragraph", "start_word", "n_words", F.col("best.doc_id").alias("cluster_doc"), F.col("best.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
+    return named.join(best, ["line", "cluster"]).select("key", "doc_id", kind.alias("kind"), "paragraph", "start_word", "n_words", F.col("best.doc_id").alias("cluster_doc"), F.col("best.paragraph").alias("cluster_paragraph"), removed.alias("removed"))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import NOT_SPACE, grams, grouped, hash_words, in_arrow, q, row_key, row_of, split_words, text_chunks, window_extreme
+from sparkloom.llm._common import NOT_SPACE, cut_words, grams, grouped, hash_words, in_arrow, q, row_key, row_of, split_words, text_chunks, window_extreme
 
 #: Words that a passage must have.
 LENGTH = 50
@@ -282,6 +282,22 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     Null and empty texts and texts of fewer than ``length`` words give no rows. Rows alike in doc_id and text are one document.
     Passages that repeat within one document count. Texts are read whole, however long. Other columns are not read. An empty table gives an empty result.
     """
+    merged = _runs(docs, length, id_col, text_col)
+    return merged.select("doc_id", "role", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+
+
+def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The documents without the passages of which an earlier copy exists (the role ``remove``), with all columns; ``size_col``, where there is one, is set anew for texts that change.
+
+    Of what repeats, the first copy stays, by doc_id (nulls last) and place. A document of which nothing but white space is left goes; null and empty texts stay; rows alike are cut alike;
+    texts are read whole, however long. An empty table stays empty.
+    """
+    spans = _runs(docs, length, id_col, text_col).where("role = 'remove'").select("key", "doc_id", F.col("start_word").alias("s"), F.col("end_word").alias("e"))
+    return cut_words(docs, spans, NOT_SPACE, id_col, text_col, size_col)
+
+
+def _runs(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_id, role, run, start_word, end_word)."""
     if length < 4:
         raise ValueError("length must be at least 4 words")
     d = docs.select(row_key(id_col, text_col).alias("key"), q(id_col).cast("long").alias("doc_id"), q(text_col).alias("text"))
@@ -299,5 +315,4 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     by = Window.partitionBy("key", "doc_id", "role").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
-    merged = runs.groupBy("key", "doc_id", "role", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
-    return merged.select("doc_id", "role", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+    return runs.groupBy("key", "doc_id", "role", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))

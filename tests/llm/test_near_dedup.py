@@ -7,7 +7,8 @@ import pytest
 from sparkloom.llm._graph import components
 from sparkloom.llm._minhash import Hasher, pack, similarity
 from sparkloom.llm.near_dedup import drop_near_duplicates, near_duplicates
-from sparkloom.llm.paragraph_dedup import duplicate_paragraphs
+from sparkloom.llm.paragraph_dedup import drop_duplicate_paragraphs, duplicate_paragraphs
+from sparkloom.llm.suffix_dedup import remove_repeated
 
 
 def grams(t, k):
@@ -177,3 +178,21 @@ def test_short_paragraphs_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {(x.doc_id, x.paragraph, x.cluster_doc, x.cluster_paragraph, x.removed) for x in duplicate_paragraphs(df).where("kind = 'line'").collect()}
     assert want and len(got ^ want) <= 0.03 * len(want)
+
+
+def test_removal_of_passages(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgé") for _ in range(6))
+    passage, own = [word() for _ in range(60)], [[word() for _ in range(30)] for _ in range(4)]
+    rows = [(i, " ".join([*own[i], *passage, "End."]), 0, 7) for i in range(3)] + [(3, " ".join(own[3]), 0, 7), (4, " ".join(passage), 0, 7), (5, None, None, 7), (6, "", 0, 7), (1, " ".join([*own[1], *passage, "End."]), 0, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, s int")
+    got = {x.doc_id: x for x in remove_repeated(df).collect()}
+    assert set(got) == {0, 1, 2, 3, 5, 6} and got[0].text == rows[0][1] and got[5].text is None and got[6].text == ""
+    # the anchor of a copy may reach no farther than its last whole window: here the last word goes along, as it is the same
+    assert all(got[i].text == " ".join(own[i]) and got[i].n_chars == len(got[i].text) for i in (1, 2))
+    left = {x.doc_id: x.text for x in drop_duplicate_paragraphs(df).collect()}
+    assert left[0] == rows[0][1] and left[3] == rows[3][1] and left[5] is None
+    for i in (1, 2):
+        words = left[i].split()
+        assert words[:30] == own[i] and len(words) < 30 + 25
+    assert len((left.get(4) or "").split()) < 40 and remove_repeated(df.limit(0)).count() == 0 and drop_duplicate_paragraphs(df.limit(0)).count() == 0
