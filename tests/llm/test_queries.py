@@ -1,9 +1,12 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import queries
+from sparkloom.llm._common import WORD_BYTE, hash_words, split_words
+from sparkloom.llm._common import grams as hashed_grams
 from sparkloom.llm.mixing import TARGETS
 from sparkloom.llm.secret_scan import RULES, Scanner
 from tests.llm.test_html_extract import brute as differenced
@@ -62,8 +65,22 @@ def test_op3(spark, documents):
     s = [grams(t, 2) for _, _, t in paras]
     root = groups(len(paras), lambda i, j: jaccard(s[i], s[j]) >= 0.8)
     want = {(d, i, *paras[root[n]][:2], n != root[n]) for n, (d, i, _) in enumerate(paras) if root.count(root[n]) > 1}
-    got = {(x.doc_id, x.paragraph, x.cluster_doc, x.cluster_paragraph, x.removed) for x in queries.QUERIES["op3_paragraph_dedup"](spark, folder).collect()}
+    out = queries.QUERIES["op3_paragraph_dedup"](spark, folder).collect()
+    got = {(x.doc_id, x.paragraph, x.cluster_doc, x.cluster_paragraph, x.removed) for x in out if x.kind == "line"}
     assert want and len(got ^ want) <= 0.05 * len(want)
+    # pieces: cut word by word, then told apart by their words
+    seen: dict = {}
+    for i, t, *_ in rows:
+        raw = t.lower().encode()
+        st, en, _, m = split_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), WORD_BYTE)
+        g = [x >> 1 for x in hashed_grams(hash_words(np.frombuffer(raw, np.uint8), st, en, m), 2).tolist()] + [2**64]
+        at = [0] + [j for j in range(1, len(g) - 1) if all(g[j] < x for x in g[max(0, j - 5) : j]) and all(g[j] <= x for x in g[j + 1 : j + 6])]
+        words = [raw[x:y] for x, y in zip(st, en, strict=True)]
+        for n, (lo, hi) in enumerate(zip(at, [*at[1:], len(words)], strict=True)):
+            if hi - lo >= 8:
+                seen.setdefault(tuple(words[lo:hi]), []).append((i, n, lo, hi - lo))
+    want = {(*p, *places[0][:2], p != places[0]) for places in seen.values() if len(places) > 1 for p in places}
+    assert want and {(x.doc_id, x.paragraph, x.start_word, x.n_words, x.cluster_doc, x.cluster_paragraph, x.removed) for x in out if x.kind == "piece"} == want
 
 
 def test_op5(spark, tmp_path):
@@ -81,6 +98,9 @@ def test_op6(spark, documents):
 
 def test_op8(spark, documents):
     rows, folder = documents
+    # the first instalment has a text of the second one, and a secret of its own
+    talk = [(1, 1, "user", next(x[1] for x in rows if TOKEN in x[1])), (1, 2, "user", f"mine is {TOKEN}"), (2, 1, "user", None)]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     scanner = Scanner(RULES)
     want = {(x[3], x[0], *f) for x in rows for f in scanner.scan(x[1])}
     got = {(x.source, x.doc_id, x.rule, x.start, x.end, x.digest) for x in queries.QUERIES["op8_secret_scan"](spark, folder).collect()}
