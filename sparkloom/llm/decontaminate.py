@@ -2,7 +2,8 @@
 
 The automaton is built on the driver from the benchmark, flattened into sorted arrays and handed to the executors as a file that the workers of a machine map into
 memory together. Training texts stream through it side by side: at each word it gives the longest passage ending there that occurs in some item, and
-by its suffix links the longest such passage that exceeds a limit. Only runs of words that all occur in the benchmark can hold a match, so only they are fed to it.
+by its suffix links the longest such passage that exceeds a limit. A match that counts is made of runs of ``least`` words that occur in the benchmark, so only places where such runs
+begin, by a sorted list of their hashes, are fed to it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from sparkloom.llm._common import WORD_BYTE, hash_words, in_arrow, q, row_of, split_words, text_chunks
+from sparkloom.llm._common import WORD_BYTE, grams, hash_words, in_arrow, q, row_of, split_words, text_chunks
 from sparkloom.storage import new_path
 
 #: A match of so many words is contamination, whatever share of an item it is.
@@ -32,12 +33,13 @@ class Automaton:
     """Generalised suffix automaton over words given as 64-bit hashes, as flat arrays.
 
     ``keys`` holds state * words + word of all transitions in order, ``to`` their states. Of a state: its suffix ``link``, the ``length`` of its longest passage, the
-    ``size`` in words and the id of the shortest ``item`` that has its passages.
+    ``size`` in words and the id of the shortest ``item`` that has its passages. ``grams`` are the hashes of all ``least`` words in a row.
     """
 
-    ARRAYS = ("vocabulary", "keys", "to", "link", "length", "size", "item")
+    ARRAYS = ("vocabulary", "grams", "keys", "to", "link", "length", "size", "item")
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], least: int = MIN_WORDS):
+        self.grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *[grams(h, least) for _, h in items]]))
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for _, h in items]]))
         wide = max(len(self.vocabulary), 1)
         nxt: dict[int, int] = {}
@@ -107,7 +109,7 @@ class Automaton:
         auto = cls.__new__(cls)
         sizes = raw[at : at + 8 * len(cls.ARRAYS)].view(np.int64).tolist()
         at += 8 * len(cls.ARRAYS)
-        for name, n, kind in zip(cls.ARRAYS, sizes, (np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64), strict=True):
+        for name, n, kind in zip(cls.ARRAYS, sizes, (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64), strict=True):
             width = np.dtype(kind).itemsize * n
             setattr(auto, name, raw[at : at + width].view(kind))
             at += width + -width % 8
@@ -201,21 +203,33 @@ class Benchmark:
         if limits not in self._best:
             self._best[limits] = [a.limits(*limits) for a in self.automata]
         found = []
+        least = min(min_words, max_words)
+        g = grams(h, least)
+        one_row = doc[: len(g)] == doc[least - 1 :] if len(g) else np.empty(0, bool)
         for auto, best in zip(self.automata, self._best[limits], strict=True):
-            word = np.minimum(np.searchsorted(auto.vocabulary, h), len(auto.vocabulary) - 1)
-            known = auto.vocabulary[word] == h
-            # runs of known words within a row
-            start, end = known.copy(), known.copy()
-            start[1:] &= ~(known[:-1] & (doc[1:] == doc[:-1]))
-            end[:-1] &= ~(known[1:] & (doc[1:] == doc[:-1]))
-            a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
-            long = b - a >= min(min_words, max_words)
-            found.append(auto.matches(word, a[long], b[long], *limits, best))
+            if not len(auto.grams) or not len(g):
+                continue
+            hit = (auto.grams[np.minimum(np.searchsorted(auto.grams, g), len(auto.grams) - 1)] == g) & one_row
+            at = np.flatnonzero(hit)
+            if not len(at):
+                continue
+            # places in a row are one run; runs of two rows never touch, as no run of words leaves its row
+            cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])))
+            lo, hi = at[cut], at[np.append(cut[1:], len(at)) - 1] + least
+            size = hi - lo
+            place = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            word = np.minimum(np.searchsorted(auto.vocabulary, h[place]), len(auto.vocabulary) - 1)
+            ends = np.cumsum(size)
+            s, e, item, words = auto.matches(word, ends - size, ends, *limits, best)
+            shift = (lo - (ends - size))[np.searchsorted(ends, s, "right")] if len(s) else s
+            found.append((s + shift, e + shift, item, words))
+        if not found:
+            return [], first
         s, e, item, size = _outermost(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
         return list(zip(doc[s].tolist(), s.tolist(), e.tolist(), item.tolist(), ((e - s) / np.maximum(size, 1)).tolist(), strict=True)), first
 
 
-def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Iterator[Automaton]:
+def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS, least: int = MIN_WORDS) -> Iterator[Automaton]:
     """Automata of all items, each of ``shard_words`` words or one longer item; items come to the driver one partition at a time. Items without words have no part in them."""
     t = benchmark.select(q(id_col).cast("long").alias("item"), q(text_col).alias("text")).where("text is not null").distinct()
     held: list[tuple[int, np.ndarray]] = []
@@ -227,20 +241,20 @@ def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
                 held.append((-1 if r.item is None else r.item, hash_words(buf, st, en, m)))
                 count += len(st)
         if count >= shard_words:
-            yield Automaton(held)
+            yield Automaton(held, least)
             held, count = [], 0
     if held:
-        yield Automaton(held)
+        yield Automaton(held, least)
 
 
-def build(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Benchmark:
-    """The benchmark's automata as a file of Spark's, some 80 bytes a word of the benchmark."""
+def build(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS, least: int = MIN_WORDS) -> Benchmark:
+    """The benchmark's automata as a file of Spark's, some 90 bytes a word of the benchmark; for matches of ``least`` words and more."""
     spark = benchmark.sparkSession
     shared = new_path(spark, "automaton")
     with tempfile.TemporaryDirectory() as folder:  # on the driver, until the file lies in the shared folder
         local = os.path.join(folder, "automaton")
         with open(local, "wb") as f:
-            for one in automata(benchmark, id_col, text_col, shard_words):
+            for one in automata(benchmark, id_col, text_col, shard_words, least):
                 one.to_file(f)
         jvm = spark.sparkContext._jvm
         to = jvm.org.apache.hadoop.fs.Path(shared)
@@ -257,7 +271,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
     letters, digits and underscores without regard to case, counted from 0. So an item of fewer than ``min_words`` words is never found. Null and empty texts have no matches; each
     row is searched on its own and whole, however long; repeated rows give repeated results. An empty table or benchmark gives an empty result; an item of null id is named -1.
     """
-    bench = build(benchmark, shard_words=shard_words)
+    bench = build(benchmark, shard_words=shard_words, least=min(min_words, max_words))
 
     def run(b: pa.RecordBatch) -> Iterator[dict]:
         doc_id = b.column("doc_id")
@@ -280,7 +294,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int =
     A document of which nothing but white space is left goes; all others stay, those of null or empty text unchanged. Texts are searched whole, however long;
     repeated rows are cut alike. An empty benchmark leaves all as it is, an empty table stays empty.
     """
-    bench = build(benchmark, shard_words=shard_words)
+    bench = build(benchmark, shard_words=shard_words, least=min(min_words, max_words))
     names = docs.columns
     text_at = [c.lower() for c in names].index(text_col.lower())
     schema = docs.schema

@@ -65,7 +65,7 @@ def test_a_covered_item_inside_a_longer_passage_of_another_item(spark):
 
 
 def test_size_of_the_automaton():
-    """About 80 bytes a word."""
+    """About 90 bytes a word."""
     import io
 
     r = random.Random(1)
