@@ -108,13 +108,20 @@ def line_hashes(lines: pa.Array) -> list[np.ndarray]:
     return out
 
 
-_PAGES = "page_id long, key long, also long, host string, path string, lines string, hashes array<long>"
+_PAGES = "page_id long, key long, also long, host string, path string, hashes array<long>"
+
+
+def _lines_of(b: pa.RecordBatch) -> pa.Array:
+    return pa.array(["\n".join(text_lines(page)) for page in b.column("html").to_pylist()], pa.string())
 
 
 def _parse(b: pa.RecordBatch) -> Iterator[dict]:
     where = [locate(url) for url in b.column("url").to_pylist()]
-    lines = pa.array(["\n".join(text_lines(page)) for page in b.column("html").to_pylist()], pa.string())
-    yield {**{c: b.column(c) for c in ("page_id", "key", "also")}, "host": [h for h, _ in where], "path": [p for _, p in where], "lines": lines, "hashes": [x.tolist() for x in line_hashes(lines)]}
+    yield {**{c: b.column(c) for c in ("page_id", "key", "also")}, "host": [h for h, _ in where], "path": [p for _, p in where], "hashes": [x.tolist() for x in line_hashes(_lines_of(b))]}
+
+
+def _text(b: pa.RecordBatch) -> Iterator[dict]:
+    yield {**{c: b.column(c) for c in ("page_id", "key", "also")}, "lines": _lines_of(b)}
 
 
 def _shared_prefix(a: str, b: str | None) -> int:
@@ -141,7 +148,7 @@ def _nearer(b: pa.RecordBatch) -> Iterator[dict]:
 
 def _align(b: pa.RecordBatch) -> Iterator[dict]:
     gone = [common_lines(x, y) for x, y in zip(b.column("hashes").to_pylist(), b.column("pair_hashes").to_pylist(), strict=True)]
-    yield {"node": b.column("node"), "pair_id": b.column("pair_id"), "gone": gone}
+    yield {"key": b.column("key"), "also": b.column("also"), "pair_id": b.column("pair_id"), "gone": gone}
 
 
 def _cut(b: pa.RecordBatch) -> Iterator[dict]:
@@ -165,23 +172,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     one = [q(id_col), q(url_col), q(html_col)]
     also = F.xxhash64(F.lit("also"), *one, *[c.isNull() for c in one])
     d = pages.select(q(id_col).cast("long").alias("page_id"), row_key(id_col, url_col, html_col).alias("key"), also.alias("also"), q(url_col).alias("url"), F.coalesce(q(html_col), F.lit("")).alias("html"))
-    # each page is parsed once; the rest reads this table, and its text only at the end
+    # hashes of lines are stored; pages are parsed once more for their text, which takes less than a table of all texts would
     parsed = durable(in_arrow(_parse, d, _PAGES).withColumn("node", F.monotonically_increasing_id()))
     # rows alike are one page: the first stands for all
     alike = parsed.groupBy("key", "also").agg(F.min("node").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = durable(parsed.select("key", "also", "node").join(alike, ["key", "also"]).where("node <> stays").select("node"))
     if not again.isEmpty():
         parsed = parsed.join(again, "node", "left_anti")
-    placed = parsed.select("node", "page_id", "host", "path").where("host is not null")
+    placed = parsed.select("node", "key", "also", "page_id", "host", "path").where("host is not null")
     # one row a path, then its neighbours: URLs only
     first = F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "node"))
     paths = placed.groupBy("host", "path").agg(first.alias("r")).select("host", "path", F.struct("path", "r.node", "r.page_id").alias("r"))
     near = Window.partitionBy("host").orderBy("path")
     sides = paths.select("host", "path", F.lag("r").over(near).alias("before"), F.lead("r").over(near).alias("after")).where("before is not null or after is not null")
     chosen = in_arrow(_nearer, sides, "host string, path string, pair long, pair_id long")
-    pairs = placed.join(chosen, ["host", "path"]).select("node", "pair", "pair_id")
+    pairs = placed.join(chosen, ["host", "path"]).select("node", "key", "also", "pair", "pair_id")
     hashes = parsed.select("node", "hashes")
     both = pairs.join(hashes, "node").join(hashes.select(F.col("node").alias("pair"), F.col("hashes").alias("pair_hashes")), "pair")
-    gone = in_arrow(_align, both.select("node", "pair_id", "hashes", "pair_hashes"), "node long, pair_id long, gone array<int>")
-    whole = parsed.select("node", "page_id", "lines").join(gone, "node", "left")
+    gone = in_arrow(_align, both.select("key", "also", "pair_id", "hashes", "pair_hashes"), "key long, also long, pair_id long, gone array<int>")
+    lines = in_arrow(_text, d.select("page_id", "key", "also", "html"), "page_id long, key long, also long, lines string")
+    whole = lines.join(gone.hint("merge"), ["key", "also"], "left").dropDuplicates(["key", "also"])
     return in_arrow(_cut, whole.select("page_id", "pair_id", "lines", "gone"), "page_id long, pair_id long, text string, n_lines int, n_deleted int")
