@@ -5,6 +5,9 @@ share a band are verified by the exact Jaccard similarity of their shingle sets,
 shingle is too much is near its equals only; its one band is the whole set. A *piece* is what a passage inside a long line, or one across many short lines, is found by:
 the words of a whole text are cut, without regard to lines, before each word whose two-word hash is the least of ``REACH`` words on both sides, so
 equal passages are cut alike wherever they stand. Pieces have some 11 words; at that size one changed word is too much, so a piece's copies are equal in all words.
+
+A short line or a single piece that has a copy is no repeated passage yet: the larger the corpus, the more phrases of some words any two texts have in common, until every clean
+text holds some. So what is reported are paragraphs with copies that follow each other without a gap and have ``PASSAGE_WORDS`` words together, be it one line or ten.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm._buckets import BLOCK, links
@@ -29,8 +32,10 @@ SHINGLE = 2
 BANDS, WIDTH = 8, 3
 #: A piece begins at the least hash of so many words before and after.
 REACH = 5
-#: Shorter pieces are phrases that texts may share by chance.
-PIECE_WORDS = 8
+#: Two cuts lie more than REACH words apart; only the first and the last piece of a text can be shorter.
+PIECE_WORDS = REACH + 1
+#: Least words of paragraphs with copies in a row; more than one piece mostly has.
+PASSAGE_WORDS = 16
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,33 +197,36 @@ def _close(threshold: float):
     return of
 
 
-def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, reach: int = REACH, piece_words: int = PIECE_WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, kind, paragraph, start_word, n_words, cluster_doc, cluster_paragraph, removed) for each paragraph that has a copy.
+def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, reach: int = REACH, piece_words: int = PIECE_WORDS, passage_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, kind, paragraph, start_word, n_words, cluster_doc, cluster_paragraph, removed) for each paragraph of a repeated passage.
 
     ``kind`` is ``line`` or ``piece``; ``paragraph`` counts the lines, or the pieces, of the text from 0, and ``start_word`` its words. A cluster is a connected component of
     pairs of lines of at least ``threshold``, or all equal pieces; its first paragraph, by doc_id (nulls last) and place, names it and stays, the others are ``removed``. Words are
     runs of letters, digits and underscores without regard to case.
 
+    Of the paragraphs of a kind that have copies, those that follow each other in a text without a word between are a passage; a passage of fewer than ``passage_words`` words is left
+    alone, so the first of a cluster, which names it, may itself be in no row.
+
     Lines of fewer than ``min_words`` words are left alone as lines, but their words are part of pieces like all others. Pieces of fewer than ``piece_words`` words are left alone.
 
     Null and empty texts have no paragraphs. Copies within one document count. Rows alike in doc_id and text are one document. Texts are read whole, however long.
     An empty table gives an empty result; other columns are not read.
     """
-    found = _copies(docs, min_words, threshold, shingle, bands, width, reach, piece_words, id_col, text_col, block)
+    found = _copies(docs, min_words, threshold, shingle, bands, width, reach, piece_words, passage_words, id_col, text_col, block)
     return found.drop("key")
 
 
-def drop_duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, reach: int = REACH, piece_words: int = PIECE_WORDS, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", block: int = BLOCK) -> DataFrame:
+def drop_duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, reach: int = REACH, piece_words: int = PIECE_WORDS, passage_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", block: int = BLOCK) -> DataFrame:
     """The documents without the paragraphs that are ``removed``, with all columns; ``size_col``, where there is one, is set anew for texts that change.
 
     A document of which nothing but white space is left goes; null and empty texts stay; rows alike are cut alike; texts are read whole, however long. An empty table stays empty.
     """
-    found = _copies(docs, min_words, threshold, shingle, bands, width, reach, piece_words, id_col, text_col, block).where("removed")
+    found = _copies(docs, min_words, threshold, shingle, bands, width, reach, piece_words, passage_words, id_col, text_col, block).where("removed")
     spans = found.select("key", "doc_id", F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))
     return cut_words(docs, spans, WORD_BYTE, id_col, text_col, size_col)
 
 
-def _copies(docs: DataFrame, min_words: int, threshold: float, shingle: int, bands: int, width: int, reach: int, piece_words: int, id_col: str, text_col: str, block: int) -> DataFrame:
+def _copies(docs: DataFrame, min_words: int, threshold: float, shingle: int, bands: int, width: int, reach: int, piece_words: int, passage_words: int, id_col: str, text_col: str, block: int) -> DataFrame:
     d = docs.select(row_key(id_col, text_col).alias("key"), q(id_col).cast("long").alias("doc_id"), q(text_col).alias("text")).where("text is not null")
     # one pass over the texts; all that follows reads this table, which has no texts
     units = durable(in_arrow(_units(min_words, threshold, shingle, bands, width, reach, piece_words), d, _UNITS))
@@ -244,4 +252,11 @@ def _copies(docs: DataFrame, min_words: int, threshold: float, shingle: int, ban
     best = named.groupBy("line", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("best")).where("n > 1").drop("n")
     removed = ~((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("paragraph") == F.col("best.paragraph")))
     kind = F.when(F.col("line"), "line").otherwise("piece")
-    return named.join(best, ["line", "cluster"]).select("key", "doc_id", kind.alias("kind"), "paragraph", "start_word", "n_words", F.col("best.doc_id").alias("cluster_doc"), F.col("best.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
+    found = named.join(best, ["line", "cluster"]).select("key", "doc_id", kind.alias("kind"), "paragraph", "start_word", "n_words", F.col("best.doc_id").alias("cluster_doc"), F.col("best.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
+    # a window a text: its paragraphs with copies, in order
+    text = Window.partitionBy("key", "doc_id", "kind")
+    inside = text.orderBy("start_word")
+    apart = F.coalesce(F.col("start_word") > F.lag(F.col("start_word") + F.col("n_words")).over(inside), F.lit(True))
+    found = found.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    long = F.sum("n_words").over(Window.partitionBy("key", "doc_id", "kind", "passage"))
+    return found.withColumn("long", long).where(F.col("long") >= passage_words).drop("apart", "passage", "long")

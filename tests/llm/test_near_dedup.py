@@ -94,6 +94,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def in_passages(paras, least=16):
+    """Of (document, start, words, ...) those in a row of ``least`` words without a gap."""
+    out, row = [], []
+    for p in sorted(paras) + [(None, None, 0)]:
+        if row and (p[0] != row[-1][0] or p[1] != row[-1][1] + row[-1][2]):
+            out += row if sum(x[2] for x in row) >= least else []
+            row = []
+        row.append(p)
+    return out
+
+
 def test_paragraphs_against_brute_force(spark):
     r = random.Random(3)
     lines = [t for t in corpus(9, 30)]
@@ -174,7 +185,10 @@ def test_short_paragraphs_against_brute_force(spark):
     paras = [(d, i, t) for d, text in enumerate(docs) for i, t in enumerate(text.split("\n")) if len(t.split()) >= 3]
     s = [grams(t, 2) for _, _, t in paras]
     root = groups(len(paras), lambda i, j: jaccard(s[i], s[j]) >= 0.8)
-    want = {(d, i, *paras[root[n]][:2], n != root[n]) for n, (d, i, _) in enumerate(paras) if root.count(root[n]) > 1}
+    places = [(d, sum(len(x.split()) for x in docs[d].split("\n")[:i]), len(t.split()), n) for n, (d, i, t) in enumerate(paras) if root.count(root[n]) > 1]
+    rows = in_passages(places)
+    assert len(rows) < len(places) and min(x[2] for x in rows) < 8
+    want = {(*paras[n][:2], *paras[root[n]][:2], n != root[n]) for *_, n in rows}
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {(x.doc_id, x.paragraph, x.cluster_doc, x.cluster_paragraph, x.removed) for x in duplicate_paragraphs(df).where("kind = 'line'").collect()}
     assert want and len(got ^ want) <= 0.03 * len(want)

@@ -12,7 +12,7 @@ from sparkloom.llm.secret_scan import RULES, Scanner
 from tests.llm.test_html_extract import brute as differenced
 from tests.llm.test_html_extract import page
 from tests.llm.test_mixing import raking
-from tests.llm.test_near_dedup import corpus, grams, groups, jaccard
+from tests.llm.test_near_dedup import corpus, grams, groups, in_passages, jaccard
 from tests.llm.test_pipeline import SCHEMA, TOKEN, prose
 from tests.oracle import connect, differences
 
@@ -77,9 +77,10 @@ def test_op3(spark, documents):
         at = [0] + [j for j in range(1, len(g) - 1) if all(g[j] < x for x in g[max(0, j - 5) : j]) and all(g[j] <= x for x in g[j + 1 : j + 6])]
         words = [raw[x:y] for x, y in zip(st, en, strict=True)]
         for n, (lo, hi) in enumerate(zip(at, [*at[1:], len(words)], strict=True)):
-            if hi - lo >= 8:
+            if hi - lo >= 6:
                 seen.setdefault(tuple(words[lo:hi]), []).append((i, n, lo, hi - lo))
-    want = {(*p, *places[0][:2], p != places[0]) for places in seen.values() if len(places) > 1 for p in places}
+    copied = [(p[0], *p[2:], p[1], *places[0][:2], p != places[0]) for places in seen.values() if len(places) > 1 for p in places]
+    want = {(i, n, *x) for i, lo, size, n, *rest in in_passages(copied) for x in [(lo, size, *rest)]}
     assert want and {(x.doc_id, x.paragraph, x.start_word, x.n_words, x.cluster_doc, x.cluster_paragraph, x.removed) for x in out if x.kind == "piece"} == want
 
 
