@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import durable, grouped
+from sparkloom.llm._common import durable, grouped, lean
 from sparkloom.llm._minhash import bucket_edges
 from sparkloom.storage import forget
 
@@ -113,13 +113,13 @@ def links(met: DataFrame, payloads: DataFrame, close: Close, node: str, block: i
     any_hot = not hot.isEmpty()
     plain = met.join(hot.select("band"), "band", "left_anti") if any_hot else met
     meet = plain.join(payloads, "node").select("band", "node", "payload").repartition("band").sortWithinPartitions("band", "node")
-    out = meet.mapInArrow(_whole(close), edge)
+    out = meet.mapInArrow(lean(_whole(close)), edge)
     if not any_hot:
         forget(hot)
         return out.where("u <> v")
     pivots = hot.join(payloads.withColumnRenamed("node", "pivot"), "pivot").select("band", "pivot", F.col("payload").alias("pivot_payload"))
     members = met.join(payloads, "node").join(pivots, "band").select("band", "node", "payload", "pivot", "pivot_payload")
-    judged = durable(members.mapInArrow(_pivot(close), f"band long, node {node}, payload binary, pivot {node}, near boolean"))
+    judged = durable(members.mapInArrow(lean(_pivot(close)), f"band long, node {node}, payload binary, pivot {node}, near boolean"))
     out = out.unionByName(judged.where("near").select(F.col("node").alias("u"), F.col("pivot").alias("v")))
     rest = judged.where("not near").groupBy("band").agg(F.count(F.lit(1)).alias("far_n"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(float(block))).cast("int")
@@ -127,5 +127,5 @@ def links(met: DataFrame, payloads: DataFrame, close: Close, node: str, block: i
     asks = sized.where("not near").select("band", F.pmod("h", "pf").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("j"), "node", "payload", "near", F.lit(True).alias("far"))
     others = sized.select("band", F.explode(F.sequence(F.lit(0), F.col("pf") - 1)).alias("i"), F.pmod("h", "pn").cast("int").alias("j"), "node", "payload", "near", F.lit(False).alias("far"))
     both = asks.unionByName(others).withColumn("task", F.xxhash64("band", "i", "j"))
-    crossed = both.repartition("task").sortWithinPartitions("task", "band", "i", "j", "far", "node").mapInArrow(_cross(close), edge)
+    crossed = both.repartition("task").sortWithinPartitions("task", "band", "i", "j", "far", "node").mapInArrow(lean(_cross(close)), edge)
     return out.unionByName(crossed).where("u <> v")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,23 +80,56 @@ def powers(n: int) -> np.ndarray:
     return _pow
 
 
+def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large_string array, without copying the bytes."""
+    _, off, data = col.buffers()
+    offs = np.frombuffer(off, np.int64, len(col) + 1, col.offset * 8)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
 def text_chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive rows of about ``limit`` bytes; a null reads as an empty text."""
+    """(first row, end row, bytes, offsets) of consecutive rows of about ``limit`` bytes; a null reads as an empty text. With ``lower``, each chunk is put into lower case when its turn comes."""
     col = pc.fill_null(col.cast(pa.large_string()), "")
-    if lower:
-        col = pc.utf8_lower(col)
     if len(col) == 0:
         return
-    _, off, data = col.buffers()
-    offs = np.frombuffer(off, np.int64, len(col) + 1, col.offset * 8)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    raw, offs = _bytes_of(col)
     lo = 0
     while lo < len(col):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        yield lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        if lower:
+            yield lo, hi, *_bytes_of(pc.utf8_lower(col.slice(lo, hi - lo)))
+        else:
+            yield lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about CHUNK_BYTES of text, so that what is rewritten never stands beside a whole batch."""
+    for b in batches:
+        for lo, hi, _, _ in text_chunks(b.column(text_at)):
+            yield b.slice(lo, hi - lo)
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library hold on to goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of mapInArrow that gives memory back after its last batch: Spark's workers live on between tasks, and what they hold counts as their executor's."""
+
+    def then_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return then_back
+
+
 def split_words(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in bytes, the first word of each row (one more entry at the end), the mask of word bytes."""
     m = kind[buf]
@@ -168,7 +203,7 @@ def in_arrow(fn, df: DataFrame, schema: str) -> DataFrame:
             for out in fn(b):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from sparkloom.llm._common import WORD_BYTE, grams, hash_words, in_arrow, q, row_of, split_words, text_chunks
+from sparkloom.llm._common import WORD_BYTE, grams, hash_words, in_arrow, lean, pieces, q, row_of, split_words, text_chunks
 from sparkloom.storage import new_path
 
 #: A match of so many words is contamination, whatever share of an item it is.
@@ -300,7 +300,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int =
     schema = docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, text_at):
             col = b.column(text_at)
             change: dict[int, str] = {}
             for lo, hi, buf, offs in text_chunks(col):
@@ -341,4 +341,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int =
                 b = pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
             yield b
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(lean(clean), schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import WORD_BYTE, hash_words, in_arrow, mix, q, row_key, split_words, text_chunks
+from sparkloom.llm._common import WORD_BYTE, hash_words, in_arrow, lean, mix, q, row_key, split_words, text_chunks
 
 #: Labelled documents of each language, and words of each, that the model is trained on.
 SAMPLE, SAMPLE_WORDS = 100, 2000
@@ -23,6 +23,8 @@ MIN_SHARE = 0.5
 #: Share of words that the lexicon must hold, in documents of MIN_WORDS words or more: text in none of the labels' languages, or in none at all, has next to none,
 #: however many labels there are. Documents of the labels' languages have a quarter and more.
 MIN_KNOWN, MIN_WORDS = 0.1, 10
+#: Bytes of text judged at a time; the posteriors of its words take many times as much.
+PIECE_BYTES = 1 << 19
 #: Steps of the optimiser and its ridge penalty.
 STEPS, RIDGE = 40, 1e-5
 #: Hashed features; lexicon entries follow them.
@@ -228,7 +230,7 @@ def _judge(model: Model | None, min_share: float, min_known: float, min_words: i
     """Of a text column: rows (language or None, its share, share of known words, words, switches, accepted)."""
 
     def run(col: pa.Array) -> Iterator[tuple[int, int, dict]]:
-        for lo, hi, buf, offs in text_chunks(col, lower=True):
+        for lo, hi, buf, offs in text_chunks(col, lower=True, limit=PIECE_BYTES):
             n = hi - lo
             if model is None:
                 st, en, first, _ = split_words(buf, offs, WORD_BYTE)
@@ -283,19 +285,15 @@ def keep_identified(docs: DataFrame, model: Model | None, min_share: float = MIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            judged = [x for _, _, x in _judge(shared.value, min_share, min_known, min_words)(b.column(at))]
-            if not judged:
-                yield b
-                continue
-            lang = [x for j in judged for x in j["lang_id"]]
-            ok = np.concatenate([j["accepted"] for j in judged])
-            if languages is not None and shared.value is not None:
-                ok &= np.array([x in languages for x in lang], bool)
-            if label is not None and shared.value is not None:
-                b = b.set_column(label, b.schema.field(label), pa.array(lang, b.schema.field(label).type))
-            yield b.filter(pa.array(ok))
-
-    return docs.mapInArrow(run, docs.schema)
+            for lo, hi, x in _judge(shared.value, min_share, min_known, min_words)(b.column(at)):
+                part, lang, ok = b.slice(lo, hi - lo), x["lang_id"], x["accepted"]
+                if languages is not None and shared.value is not None:
+                    ok = ok & np.array([v in languages for v in lang], bool)
+                if label is not None and shared.value is not None:
+                    part = part.set_column(label, b.schema.field(label), pa.array(lang, b.schema.field(label).type))
+                yield part.filter(pa.array(ok))
+
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def label_spans(text: str, model: Model) -> list[tuple[int, int, str]]:
