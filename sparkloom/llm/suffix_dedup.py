@@ -307,8 +307,10 @@ def _runs(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame
     # places, not rows: repeated rows are one document
     both = Window.partitionBy("h")
     shared = found.withColumn("a", F.min(F.struct("key", "pos")).over(both)).withColumn("b", F.max(F.struct("key", "pos")).over(both)).where("a <> b")
-    hits = shared.groupBy("key", "doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("hits")).withColumnsRenamed({"key": "k", "doc_id": "i"})
-    with_hits = d.join(hits.hint("merge"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))).drop("k", "i").dropDuplicates(["key", "doc_id"])
+    # one struct as the key of the groups, the join and the duplicates, in which nulls are equal: all three share one partitioning, so texts move once
+    doc = F.struct("key", "doc_id")
+    hits = shared.groupBy(doc.alias("doc")).agg(F.collect_set(F.struct("pos", "h")).alias("hits"))
+    with_hits = d.withColumn("own", doc).join(hits.hint("merge"), F.col("own") == F.col("doc")).dropDuplicates(["doc"]).drop("own", "doc")
     wide = in_arrow(_contexts(length), with_hits, "h long, key long, doc_id long, pos int, left int, context binary")
     near = wide.repartition("h").sortWithinPartitions("h", "left", "context", F.col("doc_id").asc_nulls_last(), "key", "pos")
     spans = near.mapInArrow(_passages(length), "key long, doc_id long, role string, s int, e int")

@@ -69,6 +69,15 @@ def test_clashing_columns(spark):
     assert got == brute([(1, t), (2, t)], 8)
 
 
+def test_texts_move_once(spark):
+    # anchors, their documents, texts, contexts, passages
+    t = " ".join(f"q{i}" for i in range(12))
+    rows = [(None, t), (None, t), (1, t), (1, t), (None, f"{t} z"), (0, f"{t} z")]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 5
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows, 8)
+
+
 def test_sorting():
     r = np.random.default_rng(0)
     for n, symbols in ((1, 2), (50, 2), (500, 3), (500, 50)):
