@@ -23,6 +23,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _pow = np.ones(1, np.uint64)
 
+#: Bits of a sieve a key, of its blocks (one row each), and of all blocks at most.
+SIEVE_BITS, BLOCK_BITS, SIEVE_MOST = 16, 1 << 15, 1 << 28
+
 #: Any run of bytes that are not ASCII white space is a word.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -58,6 +61,38 @@ def durable(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
+def sifted(df: DataFrame, key: Column, keys: DataFrame, most: int = SIEVE_MOST) -> tuple[DataFrame, DataFrame]:
+    """(rest, maybe): the rows of ``df`` whose ``key``, a long, is not in ``keys``, and those whose key may be. ``keys`` has one column and is read from a table.
+
+    For a join of a table of texts with some of its rows: only ``maybe`` need move, whatever the size of ``keys``. A Bloom filter of blocks goes to the tasks, ``SIEVE_BITS`` bits a key, with which
+    one row in 200 is in ``maybe`` by chance. Of more than ``most`` bits none is made; beyond that more rows are in ``maybe``, but none that it must have is missing. A null key is like any other.
+    """
+    blocks = min(keys.count() * SIEVE_BITS, most) // BLOCK_BITS + 1
+    words = BLOCK_BITS // 64
+
+    def places(h: Column) -> list[Column]:
+        return [F.shiftright(F.xxhash64(h), 15 * i).bitwiseAND(BLOCK_BITS - 1) for i in range(3)]
+
+    block_of = lambda h: F.coalesce(F.pmod(h, F.lit(blocks)), F.lit(0)).cast("long")
+    word_of = lambda p: F.shiftright(p, 6)
+    bit_of = lambda p: p.bitwiseAND(63).cast("int")
+    h = q(keys.columns[0])
+    ones = keys.select(block_of(h).alias("b"), F.explode(F.array(*places(h))).alias("p"))
+    ones = ones.select((F.col("b") * words + word_of(F.col("p"))).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(F.col("p"))).alias("bits"))
+    every = keys.sparkSession.range(blocks * words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits"))
+    full = ones.unionByName(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    block, bits = fresh(df, "loom_block"), fresh(df, "loom_bits")
+    rows = full.groupBy(F.shiftright("w", words.bit_length() - 1).alias(block)).agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("x"))
+    sieve = F.broadcast(durable(rows.select(block, F.col("x.bits").alias(bits))))
+
+    both = df.join(sieve, block_of(key) == F.col(block))
+    hit = F.lit(1).cast("long")
+    for p in places(key):
+        hit = hit.bitwiseAND(F.call_function("shiftright", F.col(bits)[word_of(p).cast("int")], bit_of(p)))
+    cut = lambda x: both.where(hit == x).select(*[q(c) for c in df.columns])
+    return cut(0), cut(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
