@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm._buckets import BLOCK, links
-from sparkloom.llm._common import WORD_BYTE, cut_words, durable, grams, hash_words, in_arrow, mix, q, row_key, row_of, split_words, text_chunks, window_extreme
+from sparkloom.llm._common import WORD_BYTE, cut_words, durable, grams, hash_words, in_arrow, mix, q, row_key, row_of, sifted, split_words, text_chunks, window_extreme
 from sparkloom.llm._graph import components
 from sparkloom.llm._minhash import Hasher, band_hashes, shingles
+from sparkloom.storage import forget
 
 #: Lines of fewer words have one shingle at most; their words take part in pieces.
 MIN_WORDS = 3
@@ -234,7 +235,9 @@ def _copies(docs: DataFrame, min_words: int, threshold: float, shingle: int, ban
     band = lines.select(F.explode("bands").alias("band"), "s1", "s2")
     # the halves of a name serve to see whether a bucket has two different lines, and which texts to read
     shared = band.groupBy("band").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("band")
-    met = durable(band.join(shared, "band").select("band", F.struct("s1", "s2").alias("node")).distinct())
+    # few bands are shared: they are stored in few files, and of all bands only those that may be among them move a second time
+    shared = durable(shared.hint("rebalance", "band"))
+    met = durable(sifted(band, F.col("band"), shared)[1].join(shared, "band").select("band", F.struct("s1", "s2").alias("node")).distinct())
     wanted = lines.join(met.select("node.s1", "node.s2").distinct(), ["s1", "s2"], "left_semi")
     # of equal lines one is read
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "paragraph")
@@ -244,10 +247,15 @@ def _copies(docs: DataFrame, min_words: int, threshold: float, shingle: int, ban
     payloads = in_arrow(_shingle_sets(min_words, shingle), texts, "s1 long, s2 long, payload binary")
     payloads = durable(payloads.select(F.struct("s1", "s2").alias("node"), "payload").dropDuplicates(["node"]))
     roots = durable(components(links(met, payloads, _close(threshold), "struct<s1:bigint,s2:bigint>", block)))
+    for done in (shared, met, payloads):
+        forget(done)
     # what may have a copy: names seen at two places, and lines that are near another
     twice = units.groupBy("line", "s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "s1")
-    twice = twice.unionByName(roots.select(F.lit(True).alias("line"), F.col("node.s1").alias("s1"))).distinct()
-    places = durable(units.drop("bands").join(twice, ["line", "s1"], "left_semi").distinct())
+    twice = durable(twice.unionByName(roots.select(F.lit(True).alias("line"), F.col("node.s1").alias("s1"))).distinct())
+    # an inner join, as ``twice`` has each name once: a semi join would be moved ahead of the sieve
+    places = durable(sifted(units.drop("bands"), F.col("s1"), twice.select("s1"))[1].join(twice, ["line", "s1"]).distinct())
+    for done in (units, twice):
+        forget(done)
     named = places.withColumn("node", F.struct("s1", "s2")).join(roots.withColumn("line", F.lit(True)), ["line", "node"], "left").withColumn("cluster", F.coalesce("root", "node"))
     best = named.groupBy("line", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("best")).where("n > 1").drop("n")
     removed = ~((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("paragraph") == F.col("best.paragraph")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm._common import durable, q, sifted
 from sparkloom.llm.near_dedup import drop_near_duplicates
+from sparkloom.llm.paragraph_dedup import duplicate_paragraphs
 from sparkloom.llm.secret_scan import redact_secrets, scan_new
 
 TOKEN = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -65,3 +66,29 @@ def test_secrets_are_redacted_without_moving_the_other_texts(spark, many):
     out = redact_secrets(df, durable(scan_new(df)))
     assert shuffled(spark, out) < 0.15 * sum(map(len, texts))
     assert {x.doc_id: (x.text, x.n_chars) for x in out.collect()} == {i: (t.replace(TOKEN, "[SECRET]"), len(t.replace(TOKEN, "[SECRET]"))) for i, t in enumerate(texts)}
+
+
+def records(spark):
+    """Rows that each stage so far put into shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_paragraphs_without_copies_move_once(spark, tmp_path, many):
+    """400 texts of 20 lines, of which 20 hold three lines of others, one of them changed: each band, and each name, is counted once, and only those of copies move again."""
+    r = random.Random(5)
+    line = lambda: " ".join("".join(r.choices(string.ascii_lowercase, k=7)) for _ in range(20))
+    texts = [[line() for _ in range(20)] for _ in range(400)]
+    for i in range(20):
+        texts[380 + i][:3] = [*texts[i][:2], f"{texts[i][2]} changed"]
+    spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/lines")
+    before = records(spark)
+    out = duplicate_paragraphs(spark.read.parquet(f"{tmp_path}/lines")).collect()
+    moved = sum(n for k, n in records(spark).items() if k not in before)
+    want = {(380 + i if copy else i, j, i, j, copy) for i in range(20) for j in range(3) for copy in (False, True)}
+    assert {(x.doc_id, x.paragraph, x.cluster_doc, x.cluster_paragraph, x.removed) for x in out if x.kind == "line"} == want
+    lines, pieces = 400 * 20, 400 * 20 * 20 / 11
+    assert moved < 1.3 * (8 * lines + lines + pieces)
