@@ -638,7 +638,7 @@ def as_of_join_whole(t: Tables) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN v <= a + 0.4 + 1e-9 THEN '[' || regexp_replace(printf('%.1f', a), '[.]0$', '') || '-' || regexp_replace(printf('%.1f', a + 0.4), '[.]0$', '') || ']' END AS bin FROM (SELECT *, floor(v / 0.5 + 1e-9) * 0.5 AS a FROM (SELECT o_orderkey, round(o_totalprice / 1000, 2) AS v FROM orders))")
 def bins_decimals(t: Tables) -> Table:
     """Bins of half a thousand; what lies between the last tenth of one and the next one has none."""
-    return t.orders.add_column("v", "double", "round(o_totalprice / 1000, 2)").bins("v", 0.5, "bin", start_value=0).select_columns(["o_orderkey", "bin"])
+    return t.orders.add_column("v", "double", "o_totalprice / 1000").round("v", decimals=2).bins("v", 0.5, "bin", start_value=0).select_columns(["o_orderkey", "bin"])
 
 
 # ---- geometry

@@ -31,3 +31,9 @@ def test_joins_cover_whole_tables(spark, con):
     assert len(left) == orders and any(x.c_mktsegment is None for x in left)
     alone = sum(x.o_orderkey is None for x in right)
     assert 0 < alone < customers and len(full) == orders + alone
+
+
+def test_bins_of_prices_half_between_digits(spark, tmp_path):
+    prices = [500.0 * k + x for k in range(3, 900) for x in (405.0, 495.0, 499.99)]
+    spark.createDataFrame([(i, p) for i, p in enumerate(prices)], "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    assert differences(queries.QUERIES["bins_decimals"](spark, str(tmp_path)), connect(tmp_path), queries.SQL["bins_decimals"]) == []
