@@ -3,11 +3,13 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom import Session
 from sparkloom.functions import geometry as G
 from sparkloom.functions.porter import stem
 from sparkloom.functions.similarity import METHODS, ratio, token_set_ratio, token_sort_ratio
+from sparkloom.operators.search import create_index
 
 
 @pytest.fixture
@@ -191,3 +193,19 @@ def test_geo_table(db, tmp_path):
     assert full.get_nb_rows() == 4 and right.get_nb_rows() == 3 and sorted(right.get_values("name")) == ["A", "B", "C"]
     with pytest.raises(ValueError):
         t.get_data()
+
+
+def test_index_counts_terms_where_their_texts_lie(db):
+    texts = ["b a b", "", None, "a a. c", "b a b"]
+    d = db.new_table().set_df(db.spark.createDataFrame(list(enumerate(texts)), "k long, x string"))
+    index = create_index(d.df.repartition(3, "k"), "k", "x", stemmer="none", stopwords="none")
+    assert sorted(tuple(r) for r in index.postings.select("id", "length", F.coalesce("term", F.lit("-")), "tf").collect()) == [(0, 3, "a", 1), (0, 3, "b", 2), (1, 0, "-", 1), (3, 3, "a", 2), (3, 3, "c", 1), (4, 3, "a", 1), (4, 3, "b", 2)]
+    assert index.postings.dtypes == [("doc", "bigint"), ("id", "bigint"), ("length", "int"), ("term", "string"), ("tf", "bigint")] and (index.texts, index.mean) == (4, 9 / 4)
+
+
+def test_index_shuffles_no_terms(db, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr("sparkloom.operators.search.stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    db.spark.range(9).selectExpr("id AS k", "concat('a b ', id) AS x").write.parquet(str(tmp_path / "d.parquet"))
+    create_index(db.spark.read.parquet(str(tmp_path / "d.parquet")), "k", "x", stemmer="none", stopwords="none")
+    assert "Sort" in plans[0] and "Exchange" not in plans[0]
