@@ -10,7 +10,7 @@ import sqlite3
 import tempfile
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,22 @@ def _parts(directory: str) -> list[str]:
     return sorted(os.path.join(directory, f) for f in os.listdir(directory) if f.startswith("part-"))
 
 
+def _join_parquet(spark: SparkSession, parts: list[str], path: str) -> None:
+    """One file of the row groups of all parts, in order; they are copied as they are, and only the footers are read."""
+    jvm = spark.sparkContext._jvm
+    parquet = jvm.org.apache.parquet
+    local = lambda p: jvm.java.io.File(os.path.abspath(p)).toPath()
+    reader = parquet.hadoop.ParquetFileReader.open(parquet.io.LocalInputFile(local(parts[0])))
+    meta = reader.getFileMetaData()
+    reader.close()
+    mode = getattr(parquet.hadoop, "ParquetFileWriter$Mode").OVERWRITE
+    writer = parquet.hadoop.ParquetFileWriter(parquet.io.LocalOutputFile(local(path)), meta.getSchema(), mode, 128 << 20, 0)
+    writer.start()
+    for part in parts:
+        writer.appendFile(parquet.io.LocalInputFile(local(part)))
+    writer.end(meta.getKeyValueMetaData())
+
+
 def write_data(df: DataFrame, path: str, *, compression: bool = False, as_arrays: bool = False, format_dates: bool = False) -> str:
     """CSV, JSON (an array of objects, or an object of arrays), Parquet or SQLite by the file's ending. Returns the path, with .gz where text is compressed.
 
@@ -48,8 +64,9 @@ def write_data(df: DataFrame, path: str, *, compression: bool = False, as_arrays
         return write_sqlite({os.path.splitext(os.path.basename(path))[0]: d}, path)
     if kind == ".parquet":
         with tempfile.TemporaryDirectory(dir=os.path.dirname(os.path.abspath(path))) as tmp:
-            d.coalesce(1).write.option("compression", "zstd" if compression else "snappy").parquet(f"{tmp}/out")
-            shutil.move(_parts(f"{tmp}/out")[0], path)
+            d.write.option("compression", "zstd" if compression else "snappy").parquet(f"{tmp}/out")
+            _join_parquet(df.sparkSession, _parts(f"{tmp}/out"), f"{tmp}/whole")
+            shutil.move(f"{tmp}/whole", path)
         return path
     if compression and not path.endswith(".gz"):
         path += ".gz"

@@ -2,6 +2,7 @@ import json
 import random
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,21 @@ def test_json_parquet(db, tmp_path):
     assert db.new_table().load_data(str(tmp_path / "d.parquet")).get_data() == t.get_data()
 
 
+def test_parquet_file_is_joined_from_parts(db, tmp_path):
+    t = db.new_table().set_df(db.spark.range(1000, numPartitions=5).selectExpr("id AS k", "CASE WHEN id % 7 > 0 THEN concat('t', id % 50) END AS x", "array(id, NULL) AS l"))
+    db.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):  # the second time over the first
+            assert t.write_data(str(tmp_path / "d.parquet")) == str(tmp_path / "d.parquet")
+    finally:
+        db.spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [x.name for x in tmp_path.iterdir() if x.name != "cache"] == ["d.parquet"] and (tmp_path / "d.parquet").is_file()
+    f = pq.ParquetFile(tmp_path / "d.parquet")
+    assert f.metadata.num_row_groups > 1 and f.read().to_pylist() == [r.asDict() for r in t.df.orderBy("k").collect()]
+    empty = t.clone_table().filter("k < 0")
+    assert db.new_table().load_data(empty.write_data(str(tmp_path / "e.parquet"))).get_nb_rows() == 0
+
+
 def test_xlsx(db, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
         z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
