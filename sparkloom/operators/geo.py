@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from sparkloom.functions import geometry as G
 from sparkloom.functions.exprs import col, listed, rounded
 from sparkloom.operators.order import ORD, ordered, settled, visible
+from sparkloom.storage import forget, stored
 
 
 def udf(f: Callable, kind: str, *columns: Column) -> Column:
@@ -359,7 +360,8 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     """Rows whose geometries intersect, lie inside, or lie within a distance. Other columns of one name are an error.
 
     Boxes are put into grids of cells as large as they are; the smaller one is put into coarser grids too, so any two boxes that meet share a cell
-    of the larger one's grid, and the pair is checked in one of them only.
+    of the larger one's grid, and the pair is checked in one of them only. Boxes are stored, and for right and full joins the pairs, so that no geometry
+    is read twice and a task has the Python of one step at a time.
     """
     if method not in ("intersect", "inside", "within") or how not in ("inner", "left", "right", "full"):
         raise ValueError(f"unknown method {method!r} or join {how!r}")
@@ -372,10 +374,10 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     grow = 0.0 if method != "within" else float(reach)  # type: ignore[arg-type]
     # both sides are read twice, and matched by their numbers
     left = settled(ordered(left))
-    l = left.withColumn("__box", _box(col(lc)))
+    l = left.select(ORD, col(lc).alias("__a"), _box(col(lc)).alias("__box"))
     r = right.drop(ORD)
     if how in ("right", "full"):
-        r = settled(r.withColumn("__rid", F.monotonically_increasing_id()))
+        r = r.withColumn("__rid", F.monotonically_increasing_id())
     r = r.withColumn("__rbox", _box(col(rc)))
     if grow and measure == "srs":
         l = l.withColumn("__box", F.array(*[F.col("__box")[i] + (grow if i > 1 else -grow) for i in range(4)]))
@@ -386,7 +388,7 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
         dx = F.least(F.lit(360.0), F.lit(dy) / F.cos(F.radians(lat)))
         l = l.withColumn("__box", F.array(F.col("__box")[0] - dx, F.col("__box")[1] - dy, F.col("__box")[2] + dx, F.col("__box")[3] + dy))
     level = lambda b: F.ceil(F.log2(F.greatest(F.col(b)[2] - F.col(b)[0], F.col(b)[3] - F.col(b)[1], F.lit(1e-6)))).cast("int")
-    l, r = l.withColumn("__l", level("__box")), r.withColumn("__rl", level("__rbox"))
+    l, r = stored(l.withColumn("__l", level("__box"))), stored(r.withColumn("__rl", level("__rbox")))
     levels = sorted(x[0] for x in l.select("__l").union(r.select("__rl")).where("__l is not null").distinct().collect())
 
     def celled(df: DataFrame, box: str, own: str) -> DataFrame:
@@ -398,7 +400,7 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
 
     if not levels:
         levels = [0]
-    cand = celled(l.select(ORD, col(lc).alias("__a"), "__box", "__l"), "__box", "__l").join(celled(r, "__rbox", "__rl"), ["__level", "__x", "__y"])
+    cand = celled(l, "__box", "__l").join(celled(r, "__rbox", "__rl"), ["__level", "__x", "__y"])
     size = F.pow(F.lit(2.0), F.col("__level"))
     once = (F.col("__level") == F.greatest("__l", "__rl")) & (F.col("__x") == F.floor(F.greatest(F.col("__box")[0], F.col("__rbox")[0]) / size)) & (F.col("__y") == F.floor(F.greatest(F.col("__box")[1], F.col("__rbox")[1]) / size))
     cand = cand.where(once)
@@ -408,6 +410,9 @@ def join_geo(left: DataFrame, right: DataFrame, method: str, left_column: str |
     else:
         test = G.intersects if method == "intersect" else (lambda x, y: G.covers(y, x))
     pairs = cand.where(udf(of(test), "boolean", F.col("__a"), col(rc))).drop("__a", "__box", "__l", "__level", "__x", "__y", "__rbox", "__rl").withColumnRenamed(ORD, "__of")
+    if how in ("right", "full"):
+        pairs = stored(pairs)
+        forget(l)
     out = left
     matched = out.join(pairs.drop("__rid"), out[ORD] == F.col("__of"), "left" if how in ("left", "full") else "inner").drop("__of")
     if how in ("left", "inner"):

@@ -10,6 +10,7 @@ from sparkloom import Session
 from sparkloom.functions import geometry as G
 from sparkloom.functions.porter import stem
 from sparkloom.functions.similarity import METHODS, ratio, token_set_ratio, token_sort_ratio
+from sparkloom.operators import geo
 from sparkloom.operators.search import create_index
 
 
@@ -225,3 +226,16 @@ def test_index_shuffles_no_terms(db, tmp_path, monkeypatch):
     db.spark.range(9).selectExpr("id AS k", "concat('a b ', id) AS x").write.parquet(str(tmp_path / "d.parquet"))
     create_index(db.spark.read.parquet(str(tmp_path / "d.parquet")), "k", "x", stemmer="none", stopwords="none")
     assert "Sort" in plans[0] and "Exchange" not in plans[0]
+
+
+def test_geo_join_has_few_python_steps_a_task(db, monkeypatch):
+    plans, real = [], geo.stored
+    monkeypatch.setattr(geo, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    p = db.new_table().set_df(db.spark.range(20).selectExpr("id AS a", "IF(id < 19, id, NULL) AS x")).points("x", "x", "g")
+    q = db.new_table().set_df(db.spark.range(15, 30).selectExpr("id AS b", "id AS y")).points("y", "y", "h")
+    out = p.join_geo(q, "intersect", left_table_column="g", right_table_column="h", type="full").select_columns(["a", "b"])
+    rows = [tuple(r) for r in out.df.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [(i, i if 15 <= i < 19 else None) for i in range(20)] + [(None, i) for i in range(19, 30)]))
+    # points and boxes, then the test alone; the result itself needs no geometry
+    assert [x.count("ArrowEvalPython") for x in plans] == [2, 2, 1]
+    assert "ArrowEvalPython" not in out.df._jdf.queryExecution().executedPlan().toString()
