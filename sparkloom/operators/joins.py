@@ -69,10 +69,15 @@ def as_of_join(left: DataFrame, right: DataFrame, time: str, on: str | list[str]
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, start: str, end: str, bin_width: float, on: str | list[str] | None = None) -> DataFrame:
-    """Left rows whose point is in [start, end) of a right row: both sides are put into bins, so that it is an equi-join."""
+    """Left rows whose point is in [start, end) of a right row: both sides are put into cells of a quarter of ``bin_width``, so that it is an equi-join.
+
+    The result may have far more rows than both sides, so the left is spread over ``spark.sql.shuffle.partitions`` tasks, however small it is.
+    """
     keys = listed(on)
-    l = left.withColumn("__bin", F.floor(col(point) / F.lit(bin_width)))
+    cell = lambda c: F.floor(col(c) / F.lit(bin_width / 4))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l = left.withColumn("__bin", cell(point)).repartition(tasks, *[col(k) for k in keys], F.col("__bin"))
     r = right.drop(ORD).where(col(end) > col(start))
-    r = r.withColumn("__bin", F.explode(F.sequence(F.floor(col(start) / F.lit(bin_width)), F.floor(col(end) / F.lit(bin_width)))))
+    r = r.withColumn("__bin", F.explode(F.sequence(cell(start), cell(end))))
     out = l.join(r, [*keys, "__bin"]).where((col(point) >= col(start)) & (col(point) < col(end)))
     return out.drop("__bin")

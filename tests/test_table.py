@@ -2,9 +2,11 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom import Session
 from sparkloom.functions.sqltext import rewrite
+from sparkloom.operators import joins
 
 
 @pytest.fixture
@@ -274,3 +276,14 @@ class Own(__import__("sparkloom").Table):
 def test_subclass(spark):
     db = Session(spark, table_class=Own)
     assert db.new_table().load_array([{"x": 2}]).double().get_values("x") == [4]
+
+
+def test_range_join_is_spread_however_small_the_left_is(spark):
+    left = spark.range(400, numPartitions=1).selectExpr("id AS a", "id / 4 - 20 AS p", "id % 2 AS g")
+    right = spark.createDataFrame([(1, -30.0, 5.0, 0), (2, 7.25, 7.25, 0), (3, 9.0, 7.0, 1), (4, 0.0, 50.0, 1), (5, 79.75, 90.0, 1), (6, 33.3, 33.8, 0)], "b long, s double, e double, g long")
+    out = joins.range_join(left, right, "p", "s", "e", 10.0)
+    want = [(x, y) for ys in [right.collect()] for x in left.collect() for y in ys if y.s <= x.p < y.e]
+    assert sorted(tuple(r) for r in out.select("a", "b").collect()) == sorted((x.a, y.b) for x, y in want)
+    keyed = joins.range_join(left, right, "p", "s", "e", 10.0, on="g").select("a", "b").collect()
+    assert sorted(map(tuple, keyed)) == sorted((x.a, y.b) for x, y in want if x.g == y.g)
+    assert len({r.at for r in out.select(F.spark_partition_id().alias("at")).collect()}) > 1
